@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,22 @@ ROWS_AT_ONCE = 256
 CHARS_AT_ONCE = 8_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives workers this package, wherever they run: a zip of it, once for each application."""
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parent.parent
+    if getattr(sc, "_lakeloom_shipped", False) or not package.is_dir():
+        return
+    place = Path(tempfile.mkdtemp(prefix="lakeloom-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(place, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(place))
+    sc._lakeloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
