@@ -21,9 +21,11 @@ from .common import WORD, written
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 BLOCK = 32
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 5_000
 SLOTS_PER_SHARD = 65_536
 CHUNK = 4_096
+#: Slots that one task makes.
+SLOTS_PER_TASK = 200_000
 SEED = 20_240_607
 
 
@@ -100,7 +102,9 @@ def drawn(plan: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """A row for each slot of the mix: place, block, take (words), shard."""
     parts = plan.filter("slots > 0").withColumn("part", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK}L)")))
     lo = F.col("part") * CHUNK
-    slots = parts.repartition("place", "part").withColumn("slot", F.explode(F.sequence(lo, F.least(lo + CHUNK, F.col("slots")) - 1)))
+    # A plan of a few rows grows into all slots here: the number of tasks must come from that, not from the plan's size.
+    tasks = max(plan.sparkSession.sparkContext.defaultParallelism, -(-(plan.agg(F.max("all_slots")).first()[0] or 0) // SLOTS_PER_TASK))
+    slots = parts.repartition(tasks, "place", "part").withColumn("slot", F.explode(F.sequence(lo, F.least(lo + CHUNK, F.col("slots")) - 1)))
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
     return slots.select(
         "place",
@@ -132,6 +136,7 @@ def placed(sizes: DataFrame, plan: DataFrame) -> DataFrame:
 
 def met(places: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each document and block of it: row, block, start (in the block), length, full (takes of all), part (words of a last, partial take)."""
+    # merge: what is made from the few rows of the plan looks small to the optimiser, and isn't
     used = slots.groupBy("place", "block").agg(
         F.sum((F.col("take") == block).cast("long")).alias("full"),
         F.max(F.when(F.col("take") < block, F.col("take")).otherwise(0)).alias("part"),
@@ -139,7 +144,7 @@ def met(places: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     spans = places.filter("size > 0").select("row", "place", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     begin = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     end = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    return spans.select("row", "place", "block", begin.alias("begin"), end.alias("end")).join(used, ["place", "block"])
+    return spans.select("row", "place", "block", begin.alias("begin"), end.alias("end")).join(used.hint("merge"), ["place", "block"])
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -150,7 +155,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, b
     each = met(places, drawn(plan, block, seed), block)
     words = F.col("full") * (F.col("end") - F.col("begin")) + F.greatest(F.least("end", "part") - F.col("begin"), F.lit(0))
     taken = each.groupBy("row").agg(F.sum(words).alias("taken"))
-    return places.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return places.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -175,7 +180,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
         f"(w, i) -> (lead + i) % {block} < coalesce(try_element_at(until, base + (lead + i) div {block}), 0L)), '')"
     )
     starts = placed(sizes, plan).select("row", (F.col("start") % block).alias("lead"), F.expr(f"start div {block}").alias("base"))
-    joined = rows.join(spans, "row").join(starts, "row")
+    joined = rows.join(spans.join(starts.hint("merge"), "row").hint("merge"), "row")
     text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(taken)
     out = joined.select(F.col("doc").withField("text", text).alias("doc"))
     if "n_chars" in docs.columns:
