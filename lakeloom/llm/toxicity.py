@@ -20,6 +20,7 @@ rows the prior holds, with the lexicon empty; equal doc_ids keep a row each; oth
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -35,6 +36,7 @@ from .common import crc32_of, pieces, written
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 6_000
 TERMS = 512
+CLEAN_WEIGHT = 5
 THRESHOLD = 0.3
 STEM = range(3, 9)
 WINDOW = 6
@@ -205,7 +207,7 @@ def candidates(text: str | None) -> set[str]:
         word = EDGE.sub("", token)
         if 3 <= len(word) <= 40 and word.isalpha():
             out.add(word)
-            out.update(word[:k] + "*" for k in STEM if k < len(word))
+            out.update(word[:k] + "*" for k in STEM if k <= len(word))
     return out
 
 
@@ -235,14 +237,21 @@ def counted(rows: DataFrame, wanted=None) -> DataFrame:
 
 def fitted(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 2.0) -> np.ndarray:
     """Logistic regression by Newton's method, drawn to the prior."""
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + strength / 2 * ((w - prior) ** 2).sum())
+
     w = prior.copy()
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - y) + strength * (w - prior)
         hessian = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        step, size, now = np.linalg.solve(hessian, gradient), 1.0, loss(w)
+        # halved until it helps: a full step can overshoot where the classes part cleanly
+        while loss(w - size * step) > now - 1e-4 * size * float(gradient @ step) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return w
 
@@ -253,25 +262,28 @@ def chosen_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int,
     for i, places in enumerate(members):
         for p in places:
             texts[p].add(i)
-    # Precision with a clean text's worth of doubt for each term; a stem wins over its words, a short one over a long one.
+    # Precision, with one clean text's worth of doubt; clean texts are rarer in the sample than outside, and weigh CLEAN_WEIGHT. Of terms that explain equally much the whole word wins, then the longer one.
     share = n_toxic / max(1, n_toxic + n_clean)
-    worth = [(t + share) / (t + 1 + c) for _, t, c in counts]
-    open_, out = set(range(len(members))), []
-    while open_ and len(out) < TERMS:
-        gain = [(len(s & open_) * math.log(max(w, 1e-9) / share), -len(counts[k][0]), counts[k][0], k) for k, (s, w) in enumerate(zip(texts, worth, strict=True)) if s]
-        if not gain:
-            break
-        best = max(gain, key=lambda g: (g[0], g[1], g[2]))
-        k = best[3]
-        if len(texts[k] & open_) < max(2, 0.002 * n_toxic):
-            break
-        out.append(counts[k][0])
+    worth = [math.log(max((t + share) / (t + 1 + CLEAN_WEIGHT * c), 1e-9) / share) for _, t, c in counts]
+    rank = lambda k: (-len(texts[k] & open_) * worth[k], counts[k][0].endswith("*"), -len(counts[k][0]), counts[k][0], k)
+    open_, out, least = set(range(len(members))), [], max(2, 0.002 * n_toxic)
+    # Gains only fall, so the first whose gain is still right is the best.
+    heap = [rank(k) for k in range(len(counts)) if len(texts[k]) >= least and worth[k] > 0]
+    heapq.heapify(heap)
+    while heap and open_ and len(out) < TERMS:
+        best = heapq.heappop(heap)
+        k = best[-1]
+        if len(texts[k] & open_) < least:
+            continue
+        if (now := rank(k)) != best:
+            heapq.heappush(heap, now)
+            continue
+        out.append(k)
         open_ -= texts[k]
-    # Words that explain nothing new, but tell toxic texts as surely, belong to the lexicon too.
-    have = set(out)
-    sure = sorted(((len(s), counts[k][0]) for k, (s, w) in enumerate(zip(texts, worth, strict=True)) if w >= 0.95 and len(s) >= max(8, 0.01 * n_toxic) and not counts[k][0].endswith("*")), reverse=True)
-    out += [t for _, t in sure if t not in have and not any(h.endswith("*") and t.startswith(h[:-1]) for h in have)][: TERMS - len(out)]
-    return out
+    # A word that makes up half of a stem's texts is a term too, so that its misspellings are met.
+    stems = [k for k in out if counts[k][0].endswith("*")]
+    words = [w for w, (term, _, _) in enumerate(counts) if not term.endswith("*") and w not in out and any(term.startswith(counts[k][0][:-1]) and len(texts[w]) >= max(least, 0.5 * len(texts[k])) for k in stems)]
+    return [counts[k][0] for k in out + words][:TERMS]
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Lexicon:
