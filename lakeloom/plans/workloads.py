@@ -37,7 +37,10 @@ def money(column: Column) -> Column:
     return F.round(column, 2)
 
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def line_revenue() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
 REV = "l_extendedprice * (1 - l_discount)"
 #: Nulls made where the tables have none.
 NULLED = {"c_name": "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END", "c_acctbal": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END", "c_mktsegment": "CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END", "c_nationkey": "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END"}
@@ -74,7 +77,7 @@ def series(s: SparkSession, d: str) -> DataFrame:
 
 def star(s: SparkSession, d: str, strategy: str = "auto") -> DataFrame:
     c, o = table(s, d, "customer").select(F.col("c_custkey").alias("custkey"), "c_mktsegment"), table(s, d, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"), "o_orderdate")
-    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("orderkey"), REVENUE.alias("revenue"))
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("orderkey"), line_revenue().alias("revenue"))
     joined = joins.star_join(lines, [(o, "orderkey"), (c, "custkey")], strategy)
     out = joined.groupBy("c_mktsegment", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(money(F.sum("revenue")).alias("revenue"), n("lines"))
     return out.withColumn("tier", C.tier(F.col("revenue"), (1_000_000, "high"), (100_000, "medium"), otherwise="low"))
@@ -311,7 +314,7 @@ def salted_join(s, d):
 
 @query(f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum({REV}), 2) AS revenue, round(avg(l_quantity), 4) AS avg_qty, max(l_extendedprice) AS max_price, min(l_discount) AS min_discount, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ALL")
 def agg_multi(s, d):
-    return table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(money(F.sum("l_quantity")).alias("sum_qty"), money(F.sum(REVENUE)).alias("revenue"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.max("l_extendedprice").alias("max_price"), F.min("l_discount").alias("min_discount"), n())
+    return table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(money(F.sum("l_quantity")).alias("sum_qty"), money(F.sum(line_revenue())).alias("revenue"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.max("l_extendedprice").alias("max_price"), F.min("l_discount").alias("min_discount"), n())
 
 
 @query("SELECT o_orderpriority, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS statuses FROM orders GROUP BY ALL")
