@@ -4,7 +4,8 @@ The lexicon is learned from labelled rows: words and word stems that tell toxic
 by how many toxic texts they explain that earlier ones don't. Words and stems form a trie. A word is walked through the
 intersection of the trie with the Levenshtein automata of its edges: a state is the set of (trie node, errors) that can
 be reached, made when first needed; long terms allow one error (longer ones two), never in the first letter. Words of
-clean training texts that lie that near are kept as exceptions.
+clean training texts that lie that near are kept as exceptions; terms with more of those than of misspellings in toxic
+texts are matched letter by letter.
 
 Each match is seen in a window of words: quotation marks and reporting words speak for a quotation, a second person for
 abuse. Counts of the kinds of matches go into a logistic model, fitted to the same sample under a prior that stands where
@@ -38,6 +39,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 6_000
 TERMS = 512
 CLEAN_WEIGHT = 5
 THRESHOLD = 0.3
+#: The share of a word's toxic texts that another term may also explain.
+RIDES = 0.8
 STEM = range(3, 9)
 WINDOW = 6
 #: Words whose matches a worker remembers.
@@ -57,7 +60,7 @@ RUNS = re.compile(r"(.)\1{2,}")
 
 @dataclass
 class Lexicon:
-    """Terms (a stem ends in *) with exceptions, and the automaton over them."""
+    """Terms (a stem ends in *, a term that allows no errors in =) with exceptions, and the automaton over them."""
 
     terms: list[str]
     exceptions: frozenset[str] = frozenset()
@@ -79,11 +82,11 @@ class Automaton:
 
     def __init__(self, terms: list[str]) -> None:
         self.next: list[dict[str, int]] = [{}]
-        self.limit, self.word, self.stem = [0], [""], [False]
+        self.limit, self.word, self.stem, self.allowed = [0], [""], [False], [0]
         for term in terms:
-            stem, text = term.endswith("*"), term.rstrip("*")
+            stem, text = term.endswith("*"), term.rstrip("*=")
             at = 0
-            allowed = errors_allowed(len(text), stem)
+            allowed = 0 if term.endswith("=") else errors_allowed(len(text), stem)
             self.limit[0] = max(self.limit[0], allowed)
             for letter in text:
                 if letter not in self.next[at]:
@@ -92,9 +95,11 @@ class Automaton:
                     self.limit.append(0)
                     self.word.append("")
                     self.stem.append(False)
+                    self.allowed.append(0)
                 at = self.next[at][letter]
                 self.limit[at] = max(self.limit[at], allowed)
             self.word[at], self.stem[at] = text, stem or self.stem[at]
+            self.allowed[at] = 0 if self.stem[at] else allowed
         self.steps: dict[tuple[int, str], int] = {}
         self.states: list[frozenset] = [frozenset({(0, 0, "")})]
         self.ids = {self.states[0]: 0}
@@ -110,7 +115,7 @@ class Automaton:
             todo = [(node, errors)]
             while todo:
                 n, e = todo.pop()
-                if self.word[n] and e <= errors_allowed(len(self.word[n]), self.stem[n]) and (best is None or (e, self.word[n]) < best):
+                if self.word[n] and e <= self.allowed[n] and (best is None or (e, self.word[n]) < best):
                     best = (e, self.word[n])
                 todo.extend((m, e + 1) for m in self.next[n].values() if e < self.limit[m])
         return best
@@ -265,10 +270,13 @@ def chosen_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int,
     # Precision, with one clean text's worth of doubt; clean texts are rarer in the sample than outside, and weigh CLEAN_WEIGHT. Of terms that explain equally much the whole word wins, then the longer one.
     share = n_toxic / max(1, n_toxic + n_clean)
     worth = [math.log(max((t + share) / (t + 1 + CLEAN_WEIGHT * c), 1e-9) / share) for _, t, c in counts]
+    # How unlikely so many toxic texts are by chance (Chernoff's bound, as a logarithm): with as much as this, less than one of all candidates gets in so.
+    enough = math.log(max(2, len(counts)))
+    sure = [t * math.log(t / (t + c) / share) + (c * math.log(c / (t + c) / (1 - share)) if c else 0.0) >= enough for _, t, c in counts]
     rank = lambda k: (-len(texts[k] & open_) * worth[k], counts[k][0].endswith("*"), -len(counts[k][0]), counts[k][0], k)
     open_, out, least = set(range(len(members))), [], max(2, 0.002 * n_toxic)
     # Gains only fall, so the first whose gain is still right is the best.
-    heap = [rank(k) for k in range(len(counts)) if len(texts[k]) >= least and worth[k] > 0]
+    heap = [rank(k) for k in range(len(counts)) if len(texts[k]) >= least and worth[k] > 0 and sure[k]]
     heapq.heapify(heap)
     while heap and open_ and len(out) < TERMS:
         best = heapq.heappop(heap)
@@ -283,7 +291,16 @@ def chosen_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int,
     # A word that makes up half of a stem's texts is a term too, so that its misspellings are met.
     stems = [k for k in out if counts[k][0].endswith("*")]
     words = [w for w, (term, _, _) in enumerate(counts) if not term.endswith("*") and w not in out and any(term.startswith(counts[k][0][:-1]) and len(texts[w]) >= max(least, 0.5 * len(texts[k])) for k in stems)]
-    return [counts[k][0] for k in out + words][:TERMS]
+    # So are words that stand for themselves although other terms explain their texts; what only rides along in copies shares nearly all its texts with one term.
+    alone, covers = [], [texts[k] for k in out]
+    for k in sorted(range(len(counts)), key=lambda k: (-len(texts[k]), counts[k][0])):
+        mine = texts[k]
+        if counts[k][0].endswith("*") or not sure[k] or len(mine) < max(least, 0.01 * n_toxic) or worth[k] <= 0 or k in words or k in out:
+            continue
+        if all(len(mine & other) <= RIDES * len(mine) for other in covers):
+            alone.append(k)
+            covers.append(mine)
+    return [counts[k][0] for k in out + alone + words][:TERMS]
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Lexicon:
@@ -321,13 +338,27 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     terms = lexicon.terms
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, seen = Automaton(terms), set()
-        for batch in pieces(batches, 0):
-            for text in batch.column(0).to_pylist():
-                seen.update(EDGE.sub("", t) for t in set((text or "").lower().split()) if (x := automaton.look(t)) and x[0])
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["word"])
-
-    lexicon.exceptions = frozenset(r["word"] for r in clean.select("text").mapInArrow(near, "word string").distinct().toLocalIterator())
+        automaton, seen = Automaton(terms), Counter()
+        for batch in pieces(batches, 1):
+            for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hits = {(x[1], EDGE.sub("", t)) for t in set((text or "").lower().split()) if (x := automaton.look(t)) and x[0]}
+                seen.update({(term, None) for term, _ in hits} if toxic else hits)
+        rows = [(*key, n) for key, n in seen.items()]
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["term", "word", "n"])
+
+    # Words near a term: those of the clean sample one by one, those of the toxic sample as their number (word is null).
+    met = texts.select(F.col("toxic").cast("int"), "text").mapInArrow(near, "term string, word string, n long").groupBy("term", "word").agg(F.sum("n").alias("n"))
+    in_toxic, in_clean, exceptions = Counter(), Counter(), set()
+    for term, word, n_texts in met.toLocalIterator():
+        if word is None:
+            in_toxic[term] += n_texts
+        else:
+            in_clean[term] += n_texts
+            exceptions.add(word)
+    loose = max(1, 0.0005 * n_clean)
+    terms = lexicon.terms = [f"{t}=" if in_clean[t] > in_toxic[t] + loose else t for t in terms]
+    lexicon.exceptions = frozenset(exceptions)
     exceptions = lexicon.exceptions
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
