@@ -161,4 +161,5 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, block_bytes: int
     spark = docs.sparkSession
     folder = scratch(spark, "tokens")
     files = write_token_files(docs, folder, tokenizer)
-    return files.join(separator_scan(spark, folder, files, block_bytes=block_bytes), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # Both sides grow with the documents, so neither is broadcast.
+    return files.hint("merge").join(separator_scan(spark, folder, files, block_bytes=block_bytes), ["file", "ordinal"]).select("doc_id", "n_tokens")
