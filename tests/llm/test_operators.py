@@ -205,3 +205,19 @@ def test_toxicity(spark):
     assert toxicity.scored(df.limit(0), lexicon).count() == 0
     assert toxicity.learn(df, labels.limit(0)).terms == []
     assert {r.doc_id for r in toxicity.without_toxic(df, lexicon).collect()} >= {i for i in range(120) if i % 3}
+
+
+def test_chosen_terms_keep_what_stands_alone_and_leave_what_rides_along():
+    """Terms: both words of mixed texts, not the word that only copies of one text carry, nor one too rare to tell."""
+    # places: 0 main, 1 other (seen with and without main), 2 rider (always with main), 3 rare
+    members = [[0, 1]] * 20 + [[0]] * 20 + [[1]] * 20 + [[0, 2]] * 20 + [[0, 3]] * 2
+    counts = [("main", 62, 0), ("other", 40, 0), ("rider", 20, 0), ("rare", 2, 0)]
+    assert toxicity.chosen_terms(counts, len(members), 300, members) == ["main", "other"]
+    assert toxicity.chosen_terms([], 5, 5, [[]] * 5) == []
+
+
+def test_terms_that_allow_no_errors():
+    """A term with = is met letter by letter only."""
+    assert toxicity.Automaton(["nonsense"]).match("nonsensse") == (1, "nonsense")
+    strict = toxicity.Automaton(["nonsense="])
+    assert strict.match("nonsensse") is None and strict.match("nonsense") == (0, "nonsense")
