@@ -124,9 +124,9 @@ def similarity(a: dict, i: int, js: np.ndarray) -> np.ndarray:
         ok = np.array([0 <= int(g) - int(a["grade"][r]) < 2 for r in theirs])
         other = mine[theirs, np.where(ok, g - a["grade"][theirs], 0)]
         z = popcount(own[None, :] ^ other).sum(axis=1, dtype=np.int64) / SKETCH_BITS
-        apart = np.where(z < 0.499, -SKETCH_BITS / 2 * np.log(np.maximum(1 - 2 * z, 1e-9)), np.inf) * 2.0 ** int(g)
         both = n + m[at]
-        out[at] = np.where(ok & np.isfinite(apart), (both - apart) / (both + apart), 0)
+        apart = np.where(z < 0.499, -SKETCH_BITS / 2 * np.log(np.maximum(1 - 2 * z, 1e-9)) * 2.0 ** int(g), both)
+        out[at] = np.where(ok, (both - apart) / (both + apart), 0)
     return out
 
 
