@@ -381,12 +381,11 @@ def one_of_each_group(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: floa
     others meet under a shared MinHash anchor (at a similarity of 0.8 all five miss once in 3,000 pairs), where the
     fingerprints of their words must be within `bits` and the sketches of their shingles similar. Texts without words are one group.
     """
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
-    spaced = F.translate(ascii_lower(F.coalesce("doc.text", F.lit(""))), "\t\n\x0b\f\r", "     ")
+    spaced = F.translate(ascii_lower(F.coalesce("text", F.lit(""))), "\t\n\x0b\f\r", "     ")
     digest = F.unhex(F.sha2(F.trim(F.regexp_replace(spaced, " +", " ")), 256))
-    keys = written(rows.select("row", "doc.doc_id", digest.alias("digest")), "digests")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), digest.alias("digest"), F.struct("*").alias("doc")), "rows")
     first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    texts = written(keys.groupBy("digest").agg(first.alias("node")), "texts")
+    texts = written(rows.select("row", "doc.doc_id", "digest").groupBy("digest").agg(first.alias("node")), "texts")
     whole = texts.join(rows, texts["node"] == rows["row"]).select("node", "doc.text")
     found = components_by_order(edges_of(sketched(whole, shingle, anchors), bits, least), rows)
     dropped = texts.join(found, "node", "left").filter("keep is null or keep").select("node")
