@@ -5,8 +5,9 @@ leaves the smallest sum of squared counts of partially filled windows; the count
 change of level from a to b costs 2 * (n[b] - n[a]) + 2 (a full window leaves the array). What a bucket still has open at
 its end is cut again into full sequences, and its last words into sequences of powers of two, which need no padding.
 
-Documents are dealt to buckets by a hash of their id and packed there in order of id, so the work is spread evenly, a
-retried task gives the same sequences, and no state outlives a bucket.
+Documents are dealt to buckets by a hash of their id and tokens and packed there in order of id, so the work is spread
+evenly, a retried task gives the same sequences, and no state outlives a bucket. Rows that are equal meet in one bucket,
+however many; what a task holds is packed and given out at HELD_BYTES or a few times the usual number of rows.
 
 Defined results: a null or empty text is the end token alone; equal doc_ids are documents of their own, told apart by
 their text's order; an empty table gives no pieces; other columns are left alone.
@@ -28,6 +29,8 @@ from .tokens import TOKENIZER, Encoder
 LENGTH = 2048
 END = 1
 ROWS_PER_BUCKET = 8_000
+#: Bytes of token ids that a task holds at once, and rows, as a multiple of those of a usual bucket.
+HELD_BYTES, HELD_BUCKETS = 256_000_000, 4
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -117,16 +120,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
 
     tokens = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary")
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    dealt = tokens.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    bucket = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(buckets)).cast("int")
+    # the session says how many partitions there are: a partition may have many buckets, which are packed one after another
+    dealt = tokens.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "ids")
     dealt = dealt.select("bucket", "doc_id", "ids")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.uint16 if Encoder.is_narrow(name) else np.uint32
         stop = np.array([end], np.uint32)
-        bucket, ids, held = None, [], []
+        bucket, ids, held, size, first = None, [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal first
             rows = packed_bucket([len(x) // kind().itemsize + 1 for x in held], length)
             rows.sort(key=lambda r: (r[0], r[1]))
             for at in range(0, len(rows), 10_000):
@@ -136,17 +141,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
                     if d != doc:
                         doc, full = d, np.concatenate([np.frombuffer(held[d], kind).astype(np.uint32), stop])
                     crcs.append(zlib.crc32(full[start : start + size].astype("<u4").tobytes()))
-                columns = ([ids[d] for d, *_ in part], [r[1] for r in part], [r[2] for r in part], crcs, [len(held[d]) // kind().itemsize + 1 for d, *_ in part], [(bucket << 40) + r[3] for r in part], [r[4] for r in part])
+                columns = ([ids[d] for d, *_ in part], [r[1] for r in part], [r[2] for r in part], crcs, [len(held[d]) // kind().itemsize + 1 for d, *_ in part], [(bucket << 40) + first + r[3] for r in part], [r[4] for r in part])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            first += max(r[3] for r in rows) + 1
 
         for batch in pieces(batches, 2):
             for b, doc_id, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (b != bucket or size >= HELD_BYTES or len(held) >= HELD_BUCKETS * rows_per_bucket):
+                    yield from flush()
+                    ids, held, size = [], [], 0
                 if b != bucket:
-                    if held:
-                        yield from flush()
-                    bucket, ids, held = b, [], []
+                    bucket, first = b, 0
                 ids.append(doc_id)
                 held.append(raw)
+                size += len(raw)
         if held:
             yield from flush()
 

@@ -126,6 +126,21 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_holds_a_bounded_number_of_equal_rows(spark):
+    ship(spark)
+    same = spark.createDataFrame([(None, "the same few words")] * 60 + [(None, f"text {i}") for i in range(40)], "doc_id long, text string")
+    out = packing.pack(same, rows_per_bucket=1).collect()
+    e = tokens.Encoder()
+    assert sum(r.length for r in out) == 60 * (len(e.encode("the same few words")) + 1) + sum(len(e.encode(f"text {i}")) + 1 for i in range(40))
+    places = [(r.sequence_id, r.offset) for r in out]
+    assert len(set(places)) == len(places)
+    ends = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert ends.get(r.sequence_id, 0) == r.offset
+        ends[r.sequence_id] = r.offset + r.length
+    assert all(n <= 2048 and n & (n - 1) == 0 for n in ends.values())
+
+
 def test_tokens(docs, none):
     full = tokens.loaded(tokens.TOKENIZER)[0]
     for _, t, _ in ROWS:
