@@ -122,10 +122,11 @@ def shard_counts(plan: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataF
 def placed(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """Documents with the start of their words in their source's stream.
 
-    Prefix sums in two levels: over buckets of a source, then inside a bucket, so no window holds a source.
+    Prefix sums in two levels: over buckets of a source, then inside a bucket, so no window holds a source. Sizes count
+    in the bucket, so rows whose doc_id is null are spread too.
     """
     buckets = max(1, -(-sizes.count() // ROWS_PER_BUCKET))
-    rows = sizes.select("*", source_key().alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
+    rows = sizes.select("*", source_key().alias("key"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).alias("bucket"))
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words_in"))
     earlier = F.sum("words_in").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("key", "bucket", F.coalesce(earlier, F.lit(0)).alias("offset")).join(plan, "key")
