@@ -9,8 +9,8 @@ alternating large-star and small-star steps.
 A run of equal variants longer than RUN isn't held by a task: its rows are handed on, keyed by the variant and a variant of
 the next segment too, and so on to the last segment; what even then is one run is compared block by block.
 
-Links between documents can ask for more: `anchored` fingerprints meet only under an equal MinHash of their shingles,
-and are verified by the Jaccard similarity of the shingle sets, from odd sketches.
+Links between documents can ask for more: documents meet only under an equal MinHash of their shingles. Odd sketches of the
+shingle sets, read loosely, leave out what is far apart; the groups that remain are settled by the exact Jaccard similarity.
 
 Defined results: a null text, or one without words, has fingerprint zero, and links like any other; a text of fewer words
 than a shingle is one shingle; equal doc_ids keep a row each and one component; an empty table gives no rows; other
@@ -37,6 +37,10 @@ LEVELS, BLOCKS = 2, 64
 #: Near-duplicate stages: words of a shingle, least similarity, MinHash anchors a document, bits that unigram fingerprints may differ by.
 STAGE_SHINGLE, SIMILARITY, ANCHORS, STAGE_BITS = 5, 0.8, 5, 11
 SKETCH_BITS = 4_096
+#: Least similarity by sketches at which documents are compared exactly; an estimate for a pair at 0.8 has a deviation of 0.01 at most.
+LOOSE = 0.7
+#: Documents whose shingle sets a task holds at once, twice at most.
+MEMBERS = 1_024
 #: Shingles up to which a sketch takes all of them; a longer text's sketches take a half, a quarter, ... of its shingles.
 SKETCHED = 16_384
 
@@ -149,6 +153,22 @@ def connected(a: dict, bits: int, least: float | None) -> list[tuple[int, int]]:
     return edges
 
 
+def members(edges: list[tuple[int, int]], node: np.ndarray) -> tuple[list[int], list[int]]:
+    """(group, node) of what edges of rows connect; equal groups of other runs have equal names."""
+    root: dict[int, int] = {}
+    groups: dict[int, set[int]] = {}
+    for i, j in edges:  # in the order in which connected() reaches the rows: i is known, or starts a group
+        top = root.setdefault(i, i)
+        root[j] = top
+        groups.setdefault(top, {int(node[i])}).add(int(node[j]))
+    names, nodes = [], []
+    for group in groups.values():
+        own = np.array(sorted(group), np.int64)
+        names += [int(np.array(xxhash.xxh64_intdigest(own.tobytes(), SEED), np.uint64).view(np.int64))] * len(own)
+        nodes += own.tolist()
+    return names, nodes
+
+
 def pairs_in_runs(keys: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Linked neighbours in sorted runs of two (the usual ones), at once; the starts and lengths of the longer runs."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -163,7 +183,7 @@ SKETCH_FIELDS = ["n", "grade", "sketches"]
 
 
 def linked(rows: DataFrame, bits: int, least: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) among rows (key, node, fp[, n, grade, sketches]) with equal keys, and the rows of runs too long for a task."""
+    """Edges (a, b) among rows (key, node, fp) with equal keys, and the rows of runs too long for a task. With sketches: (group, node) in place of edges."""
     full = rows.columns
     kind = rows.schema.simpleString().removeprefix("struct<")[:-1]
     sketched = "sketches" in full
@@ -191,8 +211,9 @@ def linked(rows: DataFrame, bits: int, least: float | None = None) -> tuple[Data
             runs = list(zip(starts.tolist(), lengths.tolist(), strict=True)) + ([(int(s), 2) for s in two] if sketched else [])
             for s, n in runs:
                 found = connected(columns_of(t.slice(s, n), True) if sketched else {"fp": fp[s : s + n]}, bits, least)
-                out_a.append(np.array([node[s + i] for i, _ in found], np.int64))
-                out_b.append(np.array([node[s + j] for _, j in found], np.int64))
+                pair = members(found, node[s : s + n]) if sketched else ([node[s + i] for i, _ in found], [node[s + j] for _, j in found])
+                out_a.append(np.array(pair[0], np.int64))
+                out_b.append(np.array(pair[1], np.int64))
             if sum(map(len, out_a)):
                 yield edges(np.concatenate(out_a), np.concatenate(out_b))
 
@@ -280,7 +301,8 @@ def blockwise(rows: DataFrame, bits: int, least: float | None) -> DataFrame:
     def run(_, t: pa.Table) -> pa.Table:
         a, node = columns_of(t, sketches), t["node"].to_numpy()
         found = connected(a, bits, least)
-        return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()), "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
+        one, other = members(found, node) if sketches else ([int(node[i]) for i, _ in found], [int(node[j]) for _, j in found])
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(other, pa.int64())})
 
     return pairs.groupBy("key").applyInArrow(run, "a long, b long")
 
@@ -374,12 +396,59 @@ def sketched(docs: DataFrame, shingle: int, anchors: int, seed: int = SEED) -> D
     return docs.mapInArrow(run, "key long, node long, fp long, used long, n long, grade long, sketches binary")
 
 
+def in_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (key, node, ...); those of a key with more than `most` rows in blocks of about so many, with a key for each two blocks and each block."""
+    out = rows.join(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("blocks")), "key")
+    out = out.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    finer = F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))
+    return out.withColumn("key", F.when(F.col("blocks") == 1, F.col("key")).otherwise(finer)).select(*rows.columns)
+
+
+def exactly_linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges (i, j) that connect the sets of a Jaccard similarity of `least` or more."""
+    sizes = np.array([len(x) for x in sets])
+    places = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.r_[0, np.cumsum(sizes)]
+    mark = np.zeros(len(places), np.int64)
+    todo, edges = np.arange(1, len(sets)), []
+    queue = [0]
+    while len(todo):
+        if not queue:
+            queue, todo = [int(todo[0])], todo[1:]
+            continue
+        i = queue.pop()
+        own = places[starts[i] : starts[i + 1]]
+        alike = todo[np.minimum(sizes[todo], sizes[i]) >= least * np.maximum(sizes[todo], sizes[i]) - 1]
+        mark[own] = 1
+        both = np.array([mark[places[starts[j] : starts[j + 1]]].sum() for j in alike])
+        mark[own] = 0
+        found = alike[both / (sizes[alike] + sizes[i] - both) >= least] if len(alike) else alike
+        edges.extend((i, int(j)) for j in found)
+        queue.extend(found.tolist())
+        todo = np.setdiff1d(todo, found, assume_unique=True)
+    return edges
+
+
+def verified(groups: DataFrame, rows: DataFrame, shingle: int, least: float, seed: int = SEED) -> DataFrame:
+    """Edges (a, b) by the exact similarity of the texts of groups (a: group, b: node)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node = t["node"].to_pylist()
+        found = exactly_linked([np.unique(hashes(lower_words(x.as_py()), shingle, seed)) for x in t["text"]], least)
+        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
+
+    dealt = in_blocks(written(groups.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "groups"), MEMBERS)
+    texts = dealt.join(rows.select(F.col("row").alias("node"), "doc.text"), "node").select("key", "node", "text")
+    return texts.groupBy("key").applyInArrow(run, "a long, b long")
+
+
 def one_of_each_group(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = SIMILARITY, bits: int = STAGE_BITS, anchors: int = ANCHORS) -> DataFrame:
     """docs with one document (the smallest doc_id) of each group of near copies.
 
     Texts link when their sets of shingles have a Jaccard similarity of `least` or more. Texts of equal words are one node;
     others meet under a shared MinHash anchor (at a similarity of 0.8 all five miss once in 3,000 pairs), where the
-    fingerprints of their words must be within `bits` and the sketches of their shingles similar. Texts without words are one group.
+    fingerprints of their words must be within `bits` and the sketches of their shingles roughly similar; then the sets of
+    shingles themselves decide. Texts without words are one group.
     """
     spaced = F.translate(ascii_lower(F.coalesce("text", F.lit(""))), "\t\n\x0b\f\r", "     ")
     digest = F.unhex(F.sha2(F.trim(F.regexp_replace(spaced, " +", " ")), 256))
@@ -387,7 +456,8 @@ def one_of_each_group(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: floa
     first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     texts = written(rows.select("row", "doc.doc_id", "digest").groupBy("digest").agg(first.alias("node")), "texts")
     whole = texts.join(rows, texts["node"] == rows["row"]).select("node", "doc.text")
-    found = components_by_order(edges_of(sketched(whole, shingle, anchors), bits, least), rows)
+    groups = edges_of(sketched(whole, shingle, anchors), bits, min(LOOSE, least - 0.1))
+    found = components_by_order(verified(groups, rows, shingle, least), rows)
     dropped = texts.join(found, "node", "left").filter("keep is null or keep").select("node")
     return rows.join(dropped, rows["row"] == dropped["node"], "left_semi").select("doc.*")
 

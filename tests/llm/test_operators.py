@@ -83,6 +83,21 @@ def test_one_of_each_group(docs, none):
     assert simhash.one_of_each_group(none).count() == 0
 
 
+def test_near_copies_are_told_by_the_exact_similarity(spark):
+    """Pairs at exactly 0.8 link, pairs just under it don't, however sketches estimate them."""
+    ship(spark)
+    rows, kept = [], set()
+    for k in range(40):
+        w = [f"t{k}x{i}" for i in range(9)]
+        rows += [(4 * k, " ".join(w)), (4 * k + 1, " ".join(w[:8]))]  # 4 of 5 shingles
+        w = [f"u{k}x{i}" for i in range(803)]
+        rows += [(4 * k + 2, " ".join(w)), (4 * k + 3, " ".join(w[: 642 + k % 2]))]  # 638 or 639 of 799: below 0.8
+        kept |= {4 * k, 4 * k + 2, 4 * k + 3}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in simhash.one_of_each_group(df, bits=64, anchors=12).collect()}
+    assert got == kept
+
+
 def test_long_runs_go_through_finer_keys(spark, monkeypatch):
     ship(spark)
     rng = np.random.default_rng(5)
