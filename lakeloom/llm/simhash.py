@@ -19,6 +19,7 @@ columns are left alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ SHINGLE, BITS, SEED = 3, 3, 42
 RUN = 8_192
 #: How often a run that is too long gets a finer key, and the blocks into which it falls after that.
 LEVELS, BLOCKS = 2, 64
-#: Near-duplicate stages: words of a shingle, least similarity, MinHash anchors a document, bits that unigram fingerprints may differ by.
-STAGE_SHINGLE, SIMILARITY, ANCHORS, STAGE_BITS = 5, 0.8, 5, 11
+#: Near-duplicate stages: words of a shingle, least similarity, MinHash anchors a document.
+STAGE_SHINGLE, SIMILARITY, ANCHORS = 5, 0.8, 8
 SKETCH_BITS = 4_096
 #: Least similarity by sketches at which documents are compared exactly; an estimate for a pair at 0.8 has a deviation of 0.01 at most.
 LOOSE = 0.7
@@ -120,7 +121,7 @@ def similarity(a: dict, i: int, js: np.ndarray) -> np.ndarray:
     out = np.zeros(len(js))
     for g in np.unique(grade):
         at = np.flatnonzero(grade == g)
-        mine, theirs = a["sketches"], js[at]
+        mine, theirs = a["sketches"], js[at]  # a sketch that sketched() left out is for pairs whose sizes are too far apart
         pick = lambda r: mine[r, int(g) - int(a["grade"][r])] if 0 <= int(g) - int(a["grade"][r]) < 2 else None
         own = pick(i)
         if own is None:
@@ -134,17 +135,27 @@ def similarity(a: dict, i: int, js: np.ndarray) -> np.ndarray:
     return out
 
 
+def candidates(a: dict, i: int, js: np.ndarray, least: float) -> np.ndarray:
+    """Which of rows js the sketches can't tell from a similarity of SIMILARITY to row i; the first two steps are proven bounds."""
+    n, m = int(a["n"][i]), a["n"][js]
+    near = np.minimum(m, n) >= least * np.maximum(m, n)
+    # Bits that differ are never more than shingles that differ; of a similarity of `least` those are (1 - least) / (1 + least) of both.
+    at = np.flatnonzero(near & (a["grade"][js] == 0)) if not a["grade"][i] else np.empty(0, np.int64)
+    apart = popcount(a["few"][js[at]] ^ a["few"][i]).sum(axis=1, dtype=np.int64)
+    near[at] = apart <= (1 - least) / (1 + least) * (m[at] + n) + 1e-6
+    at = np.flatnonzero(near)
+    near[at] = similarity(a, i, js[at]) >= least
+    return near
+
+
 def connected(a: dict, bits: int, least: float | None) -> list[tuple[int, int]]:
-    """Edges (row, row) that connect what is linked among the rows of a run: each new row is met by the rows still outside."""
-    fp, todo, edges = a["fp"], np.arange(len(a["fp"])), []
+    """Edges (row, row) that connect what is linked among the rows of a run: each new row is met by the rows still outside. With `least` sketches tell, without it fingerprints."""
+    fp, todo, edges = a.get("fp"), np.arange(len(a["fp"] if least is None else a["n"])), []
     while len(todo) > 1:
         queue, todo = [int(todo[0])], todo[1:]
         while queue and len(todo):
             i = queue.pop()
-            near = popcount(fp[todo] ^ fp[i]) <= bits
-            if least is not None and near.any():
-                at = np.flatnonzero(near)
-                near[at] = similarity(a, i, todo[at]) >= least
+            near = popcount(fp[todo] ^ fp[i]) <= bits if least is None else candidates(a, i, todo, least)
             if near.any():
                 found = todo[near]
                 edges.extend((i, int(j)) for j in found)
@@ -183,7 +194,7 @@ SKETCH_FIELDS = ["n", "grade", "sketches"]
 
 
 def linked(rows: DataFrame, bits: int, least: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) among rows (key, node, fp) with equal keys, and the rows of runs too long for a task. With sketches: (group, node) in place of edges."""
+    """Edges (a, b) among rows (key, node, fp, used) with equal keys, and the rows of runs too long for a task. With sketches for fingerprints: (group, node) in place of edges."""
     full = rows.columns
     kind = rows.schema.simpleString().removeprefix("struct<")[:-1]
     sketched = "sketches" in full
@@ -201,16 +212,19 @@ def linked(rows: DataFrame, bits: int, least: float | None = None) -> tuple[Data
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             """Whole runs."""
-            keys, node, fp = (t[c].to_numpy() for c in ("key", "node", "fp"))
-            fp = fp.view(np.uint64)
+            keys, node = (t[c].to_numpy() for c in ("key", "node"))
             out_a, out_b = [], []
-            two, starts, lengths = pairs_in_runs(keys, fp, bits)
-            if not sketched:
+            if sketched:
+                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                lengths = np.diff(np.r_[starts, len(keys)])
+                starts, lengths = starts[lengths > 1], lengths[lengths > 1]
+            else:
+                fp = t["fp"].to_numpy().view(np.uint64)
+                two, starts, lengths = pairs_in_runs(keys, fp, bits)
                 out_a.append(node[two])
                 out_b.append(node[two + 1])
-            runs = list(zip(starts.tolist(), lengths.tolist(), strict=True)) + ([(int(s), 2) for s in two] if sketched else [])
-            for s, n in runs:
-                found = connected(columns_of(t.slice(s, n), True) if sketched else {"fp": fp[s : s + n]}, bits, least)
+            for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+                found = connected(columns_of(t.slice(s, n)) if sketched else {"fp": fp[s : s + n]}, bits, least)
                 pair = members(found, node[s : s + n]) if sketched else ([node[s + i] for i, _ in found], [node[s + j] for _, j in found])
                 out_a.append(np.array(pair[0], np.int64))
                 out_b.append(np.array(pair[1], np.int64))
@@ -291,39 +305,60 @@ def varied(rows: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(run, kind)
 
 
-def blockwise(rows: DataFrame, bits: int, least: float | None) -> DataFrame:
+def blockwise(rows: DataFrame, bits: int) -> DataFrame:
     """The exact way for runs that no key splits any more: each block of a run against itself and, one by one, the later blocks."""
     spread = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(BLOCKS)))
     pairs = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
     pairs = pairs.withColumn("key", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))).drop("block", "with")
-    sketches = "sketches" in rows.columns
 
     def run(_, t: pa.Table) -> pa.Table:
-        a, node = columns_of(t, sketches), t["node"].to_numpy()
-        found = connected(a, bits, least)
-        one, other = members(found, node) if sketches else ([int(node[i]) for i, _ in found], [int(node[j]) for _, j in found])
-        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(other, pa.int64())})
+        node = t["node"].to_numpy()
+        found = connected({"fp": t["fp"].to_numpy().view(np.uint64)}, bits, None)
+        return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()), "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
 
     return pairs.groupBy("key").applyInArrow(run, "a long, b long")
 
 
-def columns_of(t: pa.Table, sketches: bool) -> dict:
-    a = {"fp": t["fp"].to_numpy().view(np.uint64)}
-    if sketches:
-        both = np.frombuffer(b"".join(t["sketches"].to_pylist()), np.uint64).reshape(t.num_rows, 2, SKETCH_BITS // 64)
-        a |= {"n": t["n"].to_numpy(), "grade": t["grade"].to_numpy(), "sketches": both}
-    return a
+def columns_of(t: pa.Table) -> dict:
+    both = np.zeros((t.num_rows, 2, SKETCH_BITS // 64), np.uint64)
+    for k, x in enumerate(t["sketches"].to_pylist()):
+        own = np.frombuffer(x, np.uint64).reshape(-1, SKETCH_BITS // 64)
+        both[k, : len(own)] = own
+    return {"n": t["n"].to_numpy(), "grade": t["grade"].to_numpy(), "sketches": both, "few": np.ascontiguousarray(both[:, 0, : SKETCH_BITS // 256])}
 
 
-def edges_of(rows: DataFrame, bits: int, least: float | None = None) -> DataFrame:
-    """All edges of rows (key, node, fp, used, ...) with equal keys. Runs too long for a task get finer keys, and in the end meet in blocks."""
-    edges, rest = linked(rows, bits, least)
+def edges_of(rows: DataFrame, bits: int) -> DataFrame:
+    """All edges of rows (key, node, fp, used) with equal keys. Runs too long for a task get finer keys, and in the end meet in blocks."""
+    edges, rest = linked(rows, bits)
     for _ in range(LEVELS):
         if rest.isEmpty():
             return edges
-        more, rest = linked(varied(rest, bits), bits, least)
+        more, rest = linked(varied(rest, bits), bits)
         edges = edges.unionByName(more)
-    return edges if rest.isEmpty() else edges.unionByName(blockwise(rest, bits, least))
+    return edges if rest.isEmpty() else edges.unionByName(blockwise(rest, bits))
+
+
+def groups_of(rows: DataFrame, similar: float, least: float) -> DataFrame:
+    """Groups (a: group, b: node) of rows (key, node, n, grade, sketches) with equal keys that sketches put at `least` or more.
+
+    Runs too long for a task are cut by size first: sets of a Jaccard similarity of `similar` differ in size by that factor
+    at most, so each is with its own band of sizes and the next one. What is too long even then is compared block by block.
+    """
+    groups, rest = linked(rows, 0, least)
+    if rest.isEmpty():
+        return groups
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(similar * 0.999)).cast("long")
+    banded = rest.withColumn("key", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))))
+    more, rest = linked(banded, 0, least)
+    groups = groups.unionByName(more)
+    if rest.isEmpty():
+        return groups
+
+    def run(t: pa.Table) -> pa.Table:
+        group, node = members(connected(columns_of(t), 0, least), t["node"].to_numpy())
+        return pa.table({"a": pa.array(group, pa.int64()), "b": pa.array(node, pa.int64())})
+
+    return groups.unionByName(in_blocks(rest, RUN // 2).groupBy("key").applyInArrow(run, "a long, b long"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -364,7 +399,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
 
 
 def sketched(docs: DataFrame, shingle: int, anchors: int, seed: int = SEED) -> DataFrame:
-    """key (anchor), node, fp (of single words), n (distinct shingles), grade, sketches, `anchors` rows a document."""
+    """key (anchor), node, n (distinct shingles), grade, sketches (the second only where a similar text can have a higher grade), `anchors` rows a document."""
     salts = np.array([xxhash.xxh64_intdigest(bytes([k]), seed) | 1 for k in range(anchors)], np.uint64)
 
     def sketch(values: np.ndarray, grade: int) -> np.ndarray:
@@ -375,25 +410,25 @@ def sketched(docs: DataFrame, shingle: int, anchors: int, seed: int = SEED) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            key, node, fp, n, grades, sketches = [], [], [], [], [], []
+            key, node, n, grades, sketches = [], [], [], [], []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = lower_words(text)
                 if not words:
                     continue
                 values = np.unique(hashes(words, shingle, seed))
                 grade = max(0, (len(values) - 1) // SKETCHED).bit_length()
-                both = sketch(values, grade).tobytes() + sketch(values, grade + 1).tobytes()
-                print_ = majority(hashes(words, 1, seed))
+                both = sketch(values, grade).tobytes()
+                if len(values) >= SKETCHED // 4:
+                    both += sketch(values, grade + 1).tobytes()
                 for k, salt in enumerate(salts):
                     key.append(int(mixed(mixed(values * salt).min(keepdims=True) + np.uint64(k))[0]))
                     node.append(doc_id)
-                    fp.append(print_)
                     n.append(len(values))
                     grades.append(grade)
                     sketches.append(both)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(node, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array([0] * len(fp), pa.int64()), pa.array(n, pa.int64()), pa.array(grades, pa.int64()), pa.array(sketches, pa.binary())], names=["key", "node", "fp", "used", *SKETCH_FIELDS])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(grades, pa.int64()), pa.array(sketches, pa.binary())], names=["key", "node", *SKETCH_FIELDS])
 
-    return docs.mapInArrow(run, "key long, node long, fp long, used long, n long, grade long, sketches binary")
+    return docs.mapInArrow(run, "key long, node long, n long, grade long, sketches binary")
 
 
 def in_blocks(rows: DataFrame, most: int) -> DataFrame:
@@ -438,17 +473,18 @@ def verified(groups: DataFrame, rows: DataFrame, shingle: int, least: float, see
         return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
 
     dealt = in_blocks(written(groups.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "groups"), MEMBERS)
-    texts = dealt.join(rows.select(F.col("row").alias("node"), "doc.text"), "node").select("key", "node", "text")
+    # merge: both sides grow with the documents
+    texts = dealt.hint("merge").join(rows.select(F.col("row").alias("node"), "doc.text"), "node").select("key", "node", "text")
     return texts.groupBy("key").applyInArrow(run, "a long, b long")
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = SIMILARITY, bits: int = STAGE_BITS, anchors: int = ANCHORS) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = SIMILARITY, anchors: int = ANCHORS) -> DataFrame:
     """docs with one document (the smallest doc_id) of each group of near copies.
 
     Texts link when their sets of shingles have a Jaccard similarity of `least` or more. Texts of equal words are one node;
-    others meet under a shared MinHash anchor (at a similarity of 0.8 all five miss once in 3,000 pairs), where the
-    fingerprints of their words must be within `bits` and the sketches of their shingles roughly similar; then the sets of
-    shingles themselves decide. Texts without words are one group.
+    others meet under a shared MinHash anchor (at a similarity of 0.8 all eight miss once in 390,000 pairs), where the
+    sketches of their shingles must be roughly similar; then the sets of shingles themselves decide. Texts without words
+    are one group.
     """
     spaced = F.translate(ascii_lower(F.coalesce("text", F.lit(""))), "\t\n\x0b\f\r", "     ")
     digest = F.unhex(F.sha2(F.trim(F.regexp_replace(spaced, " +", " ")), 256))
@@ -456,7 +492,7 @@ def one_of_each_group(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: floa
     first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     texts = written(rows.select("row", "doc.doc_id", "digest").groupBy("digest").agg(first.alias("node")), "texts")
     whole = texts.join(rows, texts["node"] == rows["row"]).select("node", "doc.text")
-    groups = edges_of(sketched(whole, shingle, anchors), bits, min(LOOSE, least - 0.1))
+    groups = groups_of(sketched(whole, shingle, anchors), least, min(LOOSE, least - 0.1))
     found = components_by_order(verified(groups, rows, shingle, least), rows)
     dropped = texts.join(found, "node", "left").filter("keep is null or keep").select("node")
     return rows.join(dropped, rows["row"] == dropped["node"], "left_semi").select("doc.*")

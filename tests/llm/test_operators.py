@@ -94,10 +94,37 @@ def test_near_copies_are_told_by_the_exact_similarity(spark):
         rows += [(4 * k + 2, " ".join(w)), (4 * k + 3, " ".join(w[: 642 + k % 2]))]  # 638 or 639 of 799: below 0.8
         kept |= {4 * k, 4 * k + 2, 4 * k + 3}
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id for r in simhash.one_of_each_group(df, bits=64, anchors=12).collect()}
+    got = {r.doc_id for r in simhash.one_of_each_group(df, anchors=12).collect()}
     assert got == kept
 
 
+def test_near_copies_whose_words_differ_much_are_found(spark, monkeypatch):
+    """Short texts with a tail: 0.8 and more by shingles, more than 11 bits apart by words."""
+    ship(spark)
+    monkeypatch.setattr(simhash, "MEMBERS", 2)
+    far, k = [], 0
+    while len(far) < 25:
+        w = [f"a{k}b{i}" for i in range(24)]
+        one, other = w[:20], w  # 16 of 20 shingles
+        k += 1
+        if (simhash.majority(simhash.hashes([x.encode() for x in one], 1)) ^ simhash.majority(simhash.hashes([x.encode() for x in other], 1))).bit_count() > 11:
+            far += [(one, other)]
+    rows = [(3 * i + j, " ".join(w)) for i, (a, b) in enumerate(far) for j, w in enumerate((a, b, [*b, "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(df).collect()) == [3 * i for i in range(25)]
+
+
+def test_long_runs_of_sketches_keep_their_groups(spark):
+    from pyspark.sql import functions as F
+
+    ship(spark)
+    n = simhash.RUN + 200
+    df = spark.range(n).selectExpr("id AS node", "concat_ws(' ', transform(sequence(0, 11), i -> concat('x', CASE WHEN id % 100 = 7 AND i < 11 THEN 0 ELSE id END, 'y', i))) AS text").repartition(4)
+    rows = simhash.sketched(df, 5, 1).withColumn("key", F.lit(1).cast("long"))
+    found = {r.b for r in simhash.groups_of(rows, 0.8, 0.7).collect()}
+    assert found >= set(range(7, n, 100)) and len(found) < 200
+
+
 def test_long_runs_go_through_finer_keys(spark, monkeypatch):
     ship(spark)
     rng = np.random.default_rng(5)
