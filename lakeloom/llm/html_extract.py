@@ -3,7 +3,7 @@
 A page becomes its text blocks in order, each with its root-to-leaf tag path. Paths gather text length, punctuation and
 link text; the ratios of a path (text per block, punctuation per block, text outside links) are fused into its score, the
 scores of the blocks are smoothed along the page by a Gaussian, and a path whose smoothed mean reaches a share of the
-page's spread is a content path. The deepest element that holds nearly all content text bounds the article; what stands
+page's spread is a content path. The deepest element that holds all content text bounds the article; what stands
 in it, but for elements that are never content (menus, forms, notices and so on), is its text.
 
 Defined results: a null or empty html, or one without text, gives an empty text; a null url stays null; equal page_ids
@@ -38,7 +38,7 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 #: What an opening tag of the key closes, if it is the innermost block that is open.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-WIDTH, SHARE, COVER = 1.0, 0.5, 0.9
+WIDTH, SHARE = 1.0, 0.5
 
 
 class Element:
@@ -208,7 +208,7 @@ def main_text(page: str | None) -> str:
                 weight[id(at)] = weight.get(id(at), 0) + len(b.text)
                 elements[id(at)] = at
                 at = at.up
-    root = max((e for k, e in elements.items() if weight[k] >= COVER * total), key=lambda e: e.depth, default=None)
+    root = max((e for k, e in elements.items() if weight[k] == total), key=lambda e: e.depth, default=None)
     if root is None:
         return ""
     if root.up is not None and root.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "pre", "blockquote", "tr", "ul", "ol", "dl", "dd", "dt", "table", "tbody"):

@@ -238,6 +238,12 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_heading_and_lead_beside_a_long_body():
+    lead, body = "The lead, in short, says it all. " * 9, "A paragraph, with commas, of the body. " * 10
+    page = f"<html><body><div class=story><h1>Title</h1><p>{lead}</p><div class=body>" + f"<p>{body}</p>" * 10 + "</div></div></body></html>"
+    assert html_extract.main_text(page) == "\n".join(["Title", lead.strip(), *[body.strip()] * 10])
+
+
 def test_warc(spark):
     ship(spark)
     big = "é" * 600
