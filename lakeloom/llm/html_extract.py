@@ -24,15 +24,22 @@ from .common import pieces
 
 # Element names of HTML by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math canvas object select".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg canvas select".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("nav footer aside form button menu dialog fieldset label input select head script style".split())
-#: Words in class, id or role of elements that are never content.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words in class, id or role of elements that are never content, outside what a page marks as its article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored sponsors promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
     "header masthead topbar footer bottom colophon copyright sidebar aside widget widgets related recommended recommendations share sharing social comment comments commentlist respond reply replies "
     "disqus discussion feedback cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search form toolbar complementary contentinfo skip".split()
 )
+#: Whole class names and roles, none of which an article's own parts have, that are never content inside an article either.
+INSIDE = frozenset(
+    "ad ads adbox advert adverts advertisement advertising ad-banner ad-container ad-slot ad-unit sponsored navbar navigation breadcrumb breadcrumbs pagination pager sidebar complementary contentinfo search toolbar dialog "
+    "share-bar share-buttons share-links social-share social-links sharing-buttons related-posts related-articles comments commentlist comment-list comment-form comment-respond disqus_thread "
+    "cookie-banner cookie-consent cookie-notice popup modal newsletter newsletter-form newsletter-signup subscribe-form".split()
+)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>|<\?[^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
@@ -44,10 +51,12 @@ WIDTH, SHARE = 1.0, 0.5
 class Element:
     __slots__ = ("tag", "up", "path", "never", "link", "depth")
 
-    def __init__(self, tag: str, up: Element | None, marks: set[str]) -> None:
+    def __init__(self, tag: str, up: Element | None, marks: set[str], names: set[str] = frozenset(), hidden: bool = False) -> None:
+        """marks: words of class, id and role; names: whole class names and roles."""
         self.tag, self.up = tag, up
         inside = up is not None and up.holds_article()
-        named = tag in NEVER or tag == "header" and not inside or bool(marks & MARKS) and tag not in ("html", "body", "article", "main")
+        marked = bool(names & INSIDE) and tag not in HEADINGS if inside else bool(marks & MARKS)
+        named = tag in NEVER or tag == "header" and not inside or (marked or hidden) and tag not in ("html", "body", "article", "main")
         self.never = named or up is not None and up.never or tag == "article" and bool(marks & {"comment", "reply", "advert", "ad", "promo", "sponsored"})
         self.link = tag == "a" or up is not None and up.link
         self.path = f"{up.path}/{tag}" if up else tag
@@ -124,13 +133,17 @@ def blocks_of(page: str) -> list[Block]:
                 if inner is not None and inner.tag in closes and inner.up is not None:
                     at = inner.up
             marks: set[str] = set()
+            names: set[str] = set()
+            hidden = False
             for name, a, b, c in ATTRIBUTE.findall(m[3]) if m[3] else ():
                 value = a or b or c
                 if name.lower() == "hidden" or name.lower() == "aria-hidden" and value.lower() == "true":
-                    marks.add("popup")
+                    hidden = True
                 else:
+                    if name.lower() in ("class", "role"):
+                        names.update(value.lower().split())
                     marks.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
-            at = Element(tag, at, marks)
+            at = Element(tag, at, marks, names, hidden)
         else:
             if tag in BLOCK:
                 end()

@@ -244,6 +244,13 @@ def test_html_keeps_heading_and_lead_beside_a_long_body():
     assert html_extract.main_text(page) == "\n".join(["Title", lead.strip(), *[body.strip()] * 10])
 
 
+def test_html_keeps_parts_of_an_article_whose_names_sound_like_others():
+    parts = ["<div class='post-header'><h1>Title</h1></div>", "<p id='share-price'>The share price fell.</p>", "<p>So <math><mi>x</mi></math> and <object>a figure</object> hold.</p>", "<h2 id='related-work'>Related work</h2><p>Others did.</p>", "<section id='discussion'><p>It was found.</p></section>"]
+    junk = "<div class='share-buttons'>Share me</div><p hidden>unseen</p><div role='navigation'>Next</div>"
+    page = "<html><div class='site-header'>Site</div><article>" + "".join(parts) + junk + "</article></html>"
+    assert html_extract.main_text(page) == "Title\nThe share price fell.\nSo x and a figure hold.\nRelated work\nOthers did.\nIt was found."
+
+
 def test_warc(spark):
     ship(spark)
     big = "é" * 600
