@@ -210,21 +210,54 @@ def test_language_model(docs, none):
     assert ngram_lm.language_model_scores(none).count() == 0
 
 
+def plain_sum(values):
+    out = 0.0  # sum() compensates
+    for x in values:
+        out += x
+    return out
+
+
 def test_nearest(spark):
+    """Against brute force, by row: repeated ids and vectors, ties, odd rows, extra columns, few candidates."""
+    from pyspark.sql import functions as F
+
     ship(spark)
     rng = np.random.default_rng(1)
-    rows = [(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(300 + i, [1.0] * 8) for i in range(30)]
-    odd = [(400, None), (401, [0.0] * 8), (402, [float("nan")] + [1.0] * 7), (403, [None] + [1.0] * 7), (404, [1.0, 2.0]), (None, [1.0] * 8)]
-    df = spark.createDataFrame(rows + rows[:5] + odd, "vec_id long, embedding array<double>")
+    good = [(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(300 + i, [1.0] * 8) for i in range(30)]
+    good += good[:5] + [(40, [5.0] + [0.0] * 7), (41, [5e-324] * 8), (42, [1e200] * 8), (44, [1.0, 2.0])]
+    odd = [(400, None), (401, [0.0] * 8), (402, [float("nan")] + [1.0] * 7), (403, [None] + [1.0] * 7), (420, [float("inf")] * 8), (None, [1.0] * 8)]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in good + odd], "vec_id long, embedding array<double>, row int, q string, dim int").repartition(3)
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20, query_rows=4, candidate_rows=64).collect())
+    want = Counter()
+    for i, (q, v) in enumerate(good):
+        if q % 20 == 0:
+            scores = sorted((-plain_sum(x * y for x, y in zip(v, w, strict=True)), c) for j, (c, w) in enumerate(good) if j != i and len(w) == len(v))
+            want.update((q, k, c, -s) for k, (s, c) in enumerate(scores[:20], 1))
+    assert {x[:3] for x in got} == {x[:3] for x in want} and got == want
+    assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
+    few = ann.nearest(df.filter("vec_id in (1, 2, 3)"), F.col("vec_id") == 1)
+    assert few.count() == 2 * 5
+
+
+def test_nearest_among_many_equal_vectors(spark):
+    """Equal vectors leave k + 1 candidates, and no tie is lost."""
+    from pyspark.sql import functions as F
+
+    ship(spark)
+    df = spark.createDataFrame([(i, [1.0, 2.0] if i % 3 else [2.0, float(i % 2)]) for i in range(900)], "vec_id long, embedding array<float>")
     got = {}
-    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), 20, query_rows=4, candidate_rows=64).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    m = np.array([v for _, v in rows])
-    for q in range(0, 330, 20):
-        s = (m * m[q]).sum(axis=1)
-        want = [j for j in np.lexsort((np.arange(330), -s)) if j != q][:20]
-        assert [v for _, v, _ in sorted(got[q])] == want
-    assert 400 not in got and ann.nearest(df.limit(0), df.limit(0)).count() == 0
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, 5, query_rows=3, candidate_rows=50).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    equal = [i for i in range(900) if i % 3]
+    assert [v for _, v in sorted(got[100])] == [i for i in equal if i != 100][:5]
+
+
+def test_bounds_hold(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(40, 1500)) * 10.0 ** rng.integers(-200, 100, (40, 1)), rng.standard_cauchy(size=(60, 1500))
+    (x8, *xs), (y8, *ys) = ann.quantised(x), ann.quantised(y)
+    low, up = ann.bounds(x8, np.array(xs), y8, np.array(ys))
+    assert ((low <= x @ y.T) & (x @ y.T <= up)).all()
 
 
 def test_html(spark):
