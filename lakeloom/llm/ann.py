@@ -52,9 +52,10 @@ def usable(vectors: DataFrame, asked: Column, vec_id: str = "vec_id", embedding:
 def quantised(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """8-bit values, scale, norm of the residue and norm of the vector, by row."""
     scale = np.maximum(np.abs(m).max(axis=1) / 127.0, np.finfo(np.float64).tiny)
-    q = np.rint(m / scale[:, None]).astype(np.int8)
-    with np.errstate(over="ignore"):
-        return q, scale, np.linalg.norm(m - q * scale[:, None], axis=1), np.linalg.norm(m, axis=1)
+    even = m / scale[:, None]
+    q = np.rint(even)
+    # norms of scaled values, whose squares neither vanish nor overflow
+    return q.astype(np.int8), scale, np.linalg.norm(even - q, axis=1) * scale, np.linalg.norm(even, axis=1) * scale
 
 
 def blocks(rows: DataFrame, side: str, per_block: int, total: int) -> DataFrame:
