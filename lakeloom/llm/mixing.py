@@ -1,11 +1,12 @@
 """Mixing sources to target weights: blocks of words, drawn by source and index. DataFrame functions only.
 
-The words of each source form one stream, cut into blocks of fixed length. A source's target is its share of the mix by
-weight, stopped at `cap` times its size. Its target over the block length gives its slots; a pseudorandom permutation of
-all slots deals them to output shards, so a shard's counts by source are multinomial, conditioned on the totals of the
-sources (drawn without replacement; the totals then hit the targets). A slot takes the block that a pseudorandom
-permutation of the source's block indexes, another for each pass over the source, gives it; blocks and documents meet in
-a join by (source, block).
+The words of each source form one stream, cut into blocks of fixed length, of which the last may be shorter. A source's
+target is its share of the mix by weight, stopped at `cap` times its size, and gives its slots: whole passes over its
+blocks, then as many blocks as the rest needs, the last of them in part. Each slot of a source falls into an output shard
+at random, so the counts by shard are one multinomial draw for each source whose total is the source's slots. A shard's
+slots of a source follow those of the shards before it; a slot takes the block that a pseudorandom permutation of the
+source's blocks, another for each pass, maps it to (the short last block comes last in a pass, so words add up), and
+blocks and documents meet in a join by (source, block).
 
 Defined results: a null text counts no words; a null source is a source, last in order; equal doc_ids are rows of their
 own; an empty table gives an empty one; other columns are left alone.
@@ -21,8 +22,10 @@ from .common import WORD, written
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 BLOCK = 32
-ROWS_PER_BUCKET = 5_000
+ROWS_PER_BUCKET = 1_000
 SLOTS_PER_SHARD = 65_536
+#: Places that one window of a prefix sum holds; places are summed in groups of so many first.
+WIDE = 4_096
 CHUNK = 4_096
 #: Slots that one task makes.
 SLOTS_PER_TASK = 200_000
@@ -89,58 +92,76 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     out = out.withColumn("level", F.first("met", ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     out = out.withColumn("target", F.least(F.col("stop"), F.coalesce(F.col("level") * F.col("weight"), F.col("stop"))))
     out = out.withColumn("words", F.round("target").cast("long"))
-    out = out.withColumn("slots", F.ceil(F.col("words") / block).cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    first = F.coalesce(F.sum("slots").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.select(source_key().alias("key"), "place", "source_size", "target", "words", "slots", "blocks", first.cast("long").alias("first_slot"), F.sum("slots").over(everything).alias("all_slots"))
+    out = out.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    rest = F.least(F.ceil(F.expr("words % greatest(source_size, 1)") / block).cast("long"), F.col("blocks"))
+    out = out.withColumn("slots", F.expr("words div greatest(source_size, 1)") * F.col("blocks") + rest)
+    return out.select(source_key().alias("key"), "place", "source_size", "target", "words", "slots", "blocks", F.sum("slots").over(everything).alias("all_slots"))
 
 
 def source_key() -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
 
 
-def drawn(plan: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """A row for each slot of the mix: place, block, take (words), shard."""
+def before(sums: DataFrame, key: str, place: str, value: str, name: str, wide: int = WIDE) -> DataFrame:
+    """sums (a row for each key and place) with the sum of the places before, in two levels, so a window holds `wide` places or one row for each so many."""
+    earlier = lambda by, order, v: F.coalesce(F.sum(v).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = sums.withColumn("_group", F.expr(f"{place} div {wide}"))
+    groups = grouped.groupBy(key, "_group").agg(F.sum(value).alias("_sum"))
+    groups = groups.select(key, "_group", earlier([key], "_group", "_sum").alias("_start"))
+    inside = grouped.withColumn("_inside", earlier([key, "_group"], place, value))
+    return inside.join(groups, [key, "_group"]).withColumn(name, F.col("_inside") + F.col("_start")).drop("_group", "_inside", "_start")
+
+
+def shard_counts(plan: DataFrame, seed: int = SEED, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """The draw: how many blocks of each source each output shard holds (place, shard, n). A source's counts add up to its slots."""
     parts = plan.filter("slots > 0").withColumn("part", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK}L)")))
     lo = F.col("part") * CHUNK
-    # A plan of a few rows grows into all slots here: the number of tasks must come from that, not from the plan's size.
-    tasks = max(plan.sparkSession.sparkContext.defaultParallelism, -(-(plan.agg(F.max("all_slots")).first()[0] or 0) // SLOTS_PER_TASK))
-    slots = parts.repartition(tasks, "place", "part").withColumn("slot", F.explode(F.sequence(lo, F.least(lo + CHUNK, F.col("slots")) - 1)))
-    turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
-    return slots.select(
-        "place",
-        permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("place"), turn).alias("block"),
-        F.least(F.lit(block).cast("long"), F.col("words") - F.col("slot") * block).alias("take"),
-        F.floor(permuted(F.col("first_slot") + F.col("slot"), F.col("all_slots"), F.lit(seed)) / SLOTS_PER_SHARD).cast("long").alias("shard"),
-    )
+    slots = parts.repartition(tasks_of(plan), "place", "part").withColumn("slot", F.explode(F.sequence(lo, F.least(lo + CHUNK, F.col("slots")) - 1)))
+    shard = F.pmod(F.xxhash64(F.lit(seed), "place", "slot"), F.ceil(F.col("all_slots") / per_shard).cast("long"))
+    return slots.groupBy("place", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def tasks_of(plan: DataFrame) -> int:
+    """A plan of a few rows grows into all slots: the number of tasks must come from those, not from the plan's size."""
+    return max(plan.sparkSession.sparkContext.defaultParallelism, -(-(plan.agg(F.max("all_slots")).first()[0] or 0) // SLOTS_PER_TASK))
 
 
-def shard_counts(plan: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """How many blocks of each source each output shard holds: shard, place, n."""
-    return drawn(plan, block, seed).groupBy("shard", "place").agg(F.count(F.lit(1)).alias("n"))
+def drawn(plan: DataFrame, block: int = BLOCK, seed: int = SEED, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """A row for each slot of the mix, shard by shard: place, shard, block, take (words), whole (all of the block)."""
+    counts = written(shard_counts(plan, seed, per_shard), "draw")
+    first = before(counts, "place", "shard", "n", "first").join(plan.select("place", "source_size", "words", "blocks"), "place")
+    slots = first.repartition(tasks_of(plan), "place", "shard").withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
+    last = F.col("blocks") - 1
+    slots = slots.withColumns({"turn": F.expr("slot div blocks"), "at": F.expr("slot % blocks")})
+    picked = F.when(F.col("at") == last, last).otherwise(permuted(F.col("at"), F.greatest(last, F.lit(1)), F.lit(seed), F.col("place"), F.col("turn")))
+    length = F.when(F.col("at") == last, F.col("source_size") - last * block).otherwise(F.lit(block).cast("long"))
+    left = F.col("words") - F.col("turn") * F.col("source_size") - F.col("at") * block
+    return slots.select("place", "shard", picked.alias("block"), F.least(length, left).alias("take"), (left >= length).alias("whole"))
 
 
 def placed(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """Documents with the start of their words in their source's stream.
 
-    Prefix sums in two levels: over buckets of a source, then inside a bucket, so no window holds a source. Sizes count
-    in the bucket, so rows whose doc_id is null are spread too.
+    Prefix sums in levels: over buckets of a source, then inside a bucket, so no window holds a source. Sizes count in the
+    bucket, so rows whose doc_id is null are spread too.
     """
     buckets = max(1, -(-sizes.count() // ROWS_PER_BUCKET))
     rows = sizes.select("*", source_key().alias("key"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).alias("bucket"))
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words_in"))
-    earlier = F.sum("words_in").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select("key", "bucket", F.coalesce(earlier, F.lit(0)).alias("offset")).join(plan, "key")
+    offsets = before(sums, "key", "bucket", "words_in", "offset").select("key", "bucket", "offset").join(plan, "key")
     inside = Window.partitionBy("key", "bucket").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("size").over(inside), F.lit(0))
     return rows.withColumn("inside", start).join(offsets, ["key", "bucket"]).withColumn("start", F.col("inside") + F.col("offset")).drop("inside", "offset")
 
 
 def met(places: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A row for each document and block of it: row, block, start (in the block), length, full (takes of all), part (words of a last, partial take)."""
+    """A row for each document and block of it: row, block, begin and end (in the block), full (takes of all), part (words of a last, partial take), the first and last shard that take it."""
     # merge: what is made from the few rows of the plan looks small to the optimiser, and isn't
     used = slots.groupBy("place", "block").agg(
-        F.sum((F.col("take") == block).cast("long")).alias("full"),
-        F.max(F.when(F.col("take") < block, F.col("take")).otherwise(0)).alias("part"),
+        F.sum(F.col("whole").cast("long")).alias("full"),
+        F.max(F.when(~F.col("whole"), F.col("take")).otherwise(0)).alias("part"),
+        F.min("shard").alias("first_shard"),
+        F.max("shard").alias("last_shard"),
     )
     spans = places.filter("size > 0").select("row", "place", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     begin = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
@@ -148,15 +169,17 @@ def met(places: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     return spans.select("row", "place", "block", begin.alias("begin"), end.alias("end")).join(used.hint("merge"), ["place", "block"])
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target (of its source) and taken (words that the mix takes of it, repeats counted)."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """doc_id, size, source_size, target (of its source), taken (words that the mix takes of it, repeats counted), and the first and last output shard that hold some of it."""
     sizes = sized(docs)
     plan = written(targets(sizes, weights, cap, block), "targets")
     places = placed(sizes, plan)
-    each = met(places, drawn(plan, block, seed), block)
+    each = met(places, drawn(plan, block, seed, per_shard), block)
     words = F.col("full") * (F.col("end") - F.col("begin")) + F.greatest(F.least("end", "part") - F.col("begin"), F.lit(0))
-    taken = each.groupBy("row").agg(F.sum(words).alias("taken"))
-    return places.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    each = each.withColumn("words", words).filter("words > 0")
+    taken = each.groupBy("row").agg(F.sum("words").alias("taken"), F.min("first_shard").alias("first_shard"), F.max("last_shard").alias("last_shard"))
+    joined = places.join(taken.hint("merge"), "row", "left")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:

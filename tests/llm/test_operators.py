@@ -52,6 +52,60 @@ def test_mix(docs, none):
     assert sum(len(words(r.text)) for r in mixed.collect()) == taken
 
 
+def sources(spark, sizes):
+    ship(spark)
+    rows = [(100 * k + j, " ".join(["w"] * part), f"s{k:03}") for k, n in enumerate(sizes) for j, part in enumerate((n // 3, n - n // 3))]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+
+
+def water_level(sizes, weights=(5.0, 2.0, 1.0), cap=3):
+    """Targets by the stated rule: the excess over a stop goes to the others by weight, until none is above."""
+    w = [weights[k % len(weights)] for k in range(len(sizes))]
+    target = {}
+    while True:
+        left, over = sum(sizes) - sum(target.values()), [k for k in range(len(sizes)) if k not in target]
+        share = {k: left * w[k] / sum(w[j] for j in over) for k in over}
+        if not (stopped := [k for k in over if share[k] > cap * sizes[k]]):
+            return [target.get(k, share.get(k)) for k in range(len(sizes))]
+        target |= {k: float(cap * sizes[k]) for k in stopped}
+
+
+def test_small_sources_reach_their_targets(spark):
+    """Sources of 1 to 100 words beside a large one, and single short sources: taken words are the target's."""
+    for sizes in ([*range(1, 101), 20_000], [7]):
+        out = mixing.mix(sources(spark, sizes)).collect()
+        taken, want = Counter(), water_level(sizes)
+        for r in out:
+            taken[r.doc_id // 100] += r.taken
+            assert r.taken <= 3 * r["size"] and abs(r.target - want[r.doc_id // 100]) < 1e-6
+        assert all(abs(taken[k] - want[k]) <= 0.5 + 1e-6 for k in range(len(sizes)))
+
+
+def test_shard_counts_are_a_multinomial_draw_that_the_mix_is_made_of(spark, monkeypatch):
+    from lakeloom.llm.common import written
+
+    docs = sources(spark, [40_000, 20_000, 10_000])
+    plan = written(mixing.targets(mixing.sized(docs)), "targets")
+    slots = {r.place: r.slots for r in plan.collect()}
+    counts = mixing.shard_counts(plan, per_shard=50).collect()
+    shards = -(-sum(slots.values()) // 50)
+    for place, n in slots.items():
+        mine = np.zeros(shards)
+        for r in counts:
+            if r.place == place:
+                mine[r.shard] = r.n
+        assert mine.sum() == n
+        # each count is binomial: chi-square over the shards within five deviations of its mean
+        chi = ((mine - n / shards) ** 2 / (n / shards)).sum()
+        assert abs(chi - (shards - 1)) < 5 * (2 * (shards - 1)) ** 0.5
+    drawn = mixing.drawn(plan, per_shard=50).collect()
+    assert Counter((r.place, r.shard) for r in drawn) == Counter({(r.place, r.shard): r.n for r in counts})
+    whole = sum(r.taken for r in mixing.mix(docs, per_shard=50).collect())
+    real = mixing.shard_counts
+    monkeypatch.setattr(mixing, "shard_counts", lambda *a, **k: real(*a, **k).filter("shard % 2 = 0"))
+    assert sum(r.taken for r in mixing.mix(docs, per_shard=50).collect()) < 0.7 * whole
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
@@ -120,8 +174,8 @@ def test_long_runs_of_sketches_keep_their_groups(spark):
     ship(spark)
     n = simhash.RUN + 200
     df = spark.range(n).selectExpr("id AS node", "concat_ws(' ', transform(sequence(0, 11), i -> concat('x', CASE WHEN id % 100 = 7 AND i < 11 THEN 0 ELSE id END, 'y', i))) AS text").repartition(4)
-    rows = simhash.sketched(df, 5, 1).withColumn("key", F.lit(1).cast("long"))
-    found = {r.b for r in simhash.groups_of(rows, 0.8, 0.7).collect()}
+    rows = simhash.sketched(df, 5, 1).withColumn("anchors", F.array(F.lit(1).cast("long")))
+    found = {x for r in simhash.loosely_linked(rows, 0.8, 0.7, most=1_000).collect() for x in r}
     assert found >= set(range(7, n, 100)) and len(found) < 200
 
 
