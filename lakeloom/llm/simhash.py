@@ -9,8 +9,9 @@ alternating large-star and small-star steps.
 A run of equal variants longer than RUN isn't held by a task: its rows are handed on, keyed by the variant and a variant of
 the next segment too, and so on to the last segment; what even then is one run is compared block by block.
 
-Links between documents can ask for more: documents meet only under an equal MinHash of their shingles. Odd sketches of the
-shingle sets, read loosely, leave out what is far apart; the groups that remain are settled by the exact Jaccard similarity.
+Links between documents can ask for more: documents meet only under an equal MinHash of their shingles. Ids alone are dealt
+by it; only those that share one meet the odd sketches of their shingle sets, which, read loosely, leave out what is far
+apart; the components of what is left are settled by the exact Jaccard similarity, each text in one of them.
 
 Defined results: a null text, or one without words, has fingerprint zero, and links like any other; a text of fewer words
 than a shingle is one shingle; equal doc_ids keep a row each and one component; an empty table gives no rows; other
@@ -40,6 +41,8 @@ STAGE_SHINGLE, SIMILARITY, ANCHORS = 5, 0.8, 8
 SKETCH_BITS = 4_096
 #: Least similarity by sketches at which documents are compared exactly; an estimate for a pair at 0.8 has a deviation of 0.01 at most.
 LOOSE = 0.7
+#: Documents under one anchor that a task compares by sketches at once; more are cut into bands of sizes, then into blocks.
+STAGE_RUN = 2_048
 #: Documents whose shingle sets a task holds at once, twice at most.
 MEMBERS = 1_024
 #: Shingles up to which a sketch takes all of them; a longer text's sketches take a half, a quarter, ... of its shingles.
@@ -115,7 +118,10 @@ def popcount(x: np.ndarray) -> np.ndarray:
 
 
 def similarity(a: dict, i: int, js: np.ndarray) -> np.ndarray:
-    """Jaccard of row i to rows js from odd sketches: n shingles in all; sketch k takes those of 2 ** -k."""
+    """Jaccard of row i to rows js from odd sketches: n shingles in all; sketch k takes those of 2 ** -k.
+
+    Grades two apart mean sets of which one has twice the other's shingles and more: their similarity is below a half, and zero here.
+    """
     n, m = float(a["n"][i]), a["n"][js].astype(float)
     grade = np.maximum(a["grade"][i], a["grade"][js])
     out = np.zeros(len(js))
@@ -164,22 +170,6 @@ def connected(a: dict, bits: int, least: float | None) -> list[tuple[int, int]]:
     return edges
 
 
-def members(edges: list[tuple[int, int]], node: np.ndarray) -> tuple[list[int], list[int]]:
-    """(group, node) of what edges of rows connect; equal groups of other runs have equal names."""
-    root: dict[int, int] = {}
-    groups: dict[int, set[int]] = {}
-    for i, j in edges:  # in the order in which connected() reaches the rows: i is known, or starts a group
-        top = root.setdefault(i, i)
-        root[j] = top
-        groups.setdefault(top, {int(node[i])}).add(int(node[j]))
-    names, nodes = [], []
-    for group in groups.values():
-        own = np.array(sorted(group), np.int64)
-        names += [int(np.array(xxhash.xxh64_intdigest(own.tobytes(), SEED), np.uint64).view(np.int64))] * len(own)
-        nodes += own.tolist()
-    return names, nodes
-
-
 def pairs_in_runs(keys: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Linked neighbours in sorted runs of two (the usual ones), at once; the starts and lengths of the longer runs."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -193,8 +183,9 @@ def pairs_in_runs(keys: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarr
 SKETCH_FIELDS = ["n", "grade", "sketches"]
 
 
-def linked(rows: DataFrame, bits: int, least: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) among rows (key, node, fp, used) with equal keys, and the rows of runs too long for a task. With sketches for fingerprints: (group, node) in place of edges."""
+def linked(rows: DataFrame, bits: int, least: float | None = None, most: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) among rows (key, node, fp, used) with equal keys, and the rows of runs too long for a task (of more than `most`, RUN if not given). With `least`, rows have sketches for fingerprints."""
+    most = most or RUN
     full = rows.columns
     kind = rows.schema.simpleString().removeprefix("struct<")[:-1]
     sketched = "sketches" in full
@@ -225,9 +216,8 @@ def linked(rows: DataFrame, bits: int, least: float | None = None) -> tuple[Data
                 out_b.append(node[two + 1])
             for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
                 found = connected(columns_of(t.slice(s, n)) if sketched else {"fp": fp[s : s + n]}, bits, least)
-                pair = members(found, node[s : s + n]) if sketched else ([node[s + i] for i, _ in found], [node[s + j] for _, j in found])
-                out_a.append(np.array(pair[0], np.int64))
-                out_b.append(np.array(pair[1], np.int64))
+                out_a.append(np.array([node[s + i] for i, _ in found], np.int64))
+                out_b.append(np.array([node[s + j] for _, j in found], np.int64))
             if sum(map(len, out_a)):
                 yield edges(np.concatenate(out_a), np.concatenate(out_b))
 
@@ -249,36 +239,36 @@ def linked(rows: DataFrame, bits: int, least: float | None = None) -> tuple[Data
                 skipping = None
             held.append(t)
             count += len(keys)
-            if count < RUN * 4:
+            if count < max(most, RUN) * 4:
                 continue
             t = pa.concat_tables(held).combine_chunks()
             keys = t["key"].to_numpy()
             last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
             if last:
-                yield from settle(t.slice(0, last), work, handed_on)
+                yield from settle(t.slice(0, last), work, handed_on, most)
             rest = t.slice(last)
-            if rest.num_rows > RUN:
+            if rest.num_rows > most:
                 yield from handed_on(rest)
                 skipping, held, count = keys[-1], [], 0
             else:
                 held, count = [rest], rest.num_rows
         if count:
-            yield from settle(pa.concat_tables(held).combine_chunks(), work, handed_on)
+            yield from settle(pa.concat_tables(held).combine_chunks(), work, handed_on, most)
 
     done = rows.repartition("key").sortWithinPartitions("key").select(*full).mapInArrow(run, f"a long, b long, {kind.replace(':', ' ')}")
     done = written(done, "linked")
     return done.filter("a is not null").select("a", "b"), done.filter("a is null").select(*full)
 
 
-def settle(t: pa.Table, work, handed_on) -> Iterator[pa.RecordBatch]:
-    """Runs up to RUN are worked on; longer ones are handed on."""
+def settle(t: pa.Table, work, handed_on, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs up to `most` rows are worked on; longer ones are handed on."""
     keys = t["key"].to_numpy()
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[starts, len(keys)])
-    if (lengths <= RUN).all():
+    if (lengths <= most).all():
         yield from work(t)
         return
-    keep = np.repeat(lengths <= RUN, lengths)
+    keep = np.repeat(lengths <= most, lengths)
     yield from handed_on(t.filter(pa.array(~keep)))
     if keep.any():
         yield from work(t.filter(pa.array(keep)).combine_chunks())
@@ -338,27 +328,33 @@ def edges_of(rows: DataFrame, bits: int) -> DataFrame:
     return edges if rest.isEmpty() else edges.unionByName(blockwise(rest, bits))
 
 
-def groups_of(rows: DataFrame, similar: float, least: float) -> DataFrame:
-    """Groups (a: group, b: node) of rows (key, node, n, grade, sketches) with equal keys that sketches put at `least` or more.
+def loosely_linked(features: DataFrame, similar: float, least: float, most: int = 0) -> DataFrame:
+    """Edges (a, b) that connect the nodes of features (node, n, grade, sketches, anchors) that share an anchor and that sketches put at `least` or more.
 
-    Runs too long for a task are cut by size first: sets of a Jaccard similarity of `similar` differ in size by that factor
-    at most, so each is with its own band of sizes and the next one. What is too long even then is compared block by block.
+    Anchors are counted before anything is dealt by them, so no task is given a run of more than `most` rows: the ids of a
+    longer one are cut by size first (sets of a Jaccard similarity of `similar` differ in size by that factor at most, so
+    each is with its own band of sizes and the next one), and what is too long even then is compared block by block.
     """
-    groups, rest = linked(rows, 0, least)
+    most = most or STAGE_RUN
+    keyed = written(features.select("node", "n", F.explode("anchors").alias("key")), "anchors")
+    counts = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "anchor-counts")
+    rows = keyed.join(counts.filter(F.col("times") <= most).select("key"), "key", "left_semi").select("key", "node")
+    often = counts.filter(F.col("times") > most).select("key")
+    if not often.isEmpty():
+        band = F.floor(F.log(F.col("n").cast("double")) / -math.log(similar * 0.999)).cast("long")
+        banded = keyed.join(often, "key", "left_semi").select(F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"), "node")
+        rows = rows.unionByName(in_blocks(written(banded, "bands"), most // 4))
+    rows = rows.join(features.select("node", *SKETCH_FIELDS), "node").select("key", "node", *SKETCH_FIELDS)
+    edges, rest = linked(rows, 0, least, most)
     if rest.isEmpty():
-        return groups
-    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(similar * 0.999)).cast("long")
-    banded = rest.withColumn("key", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))))
-    more, rest = linked(banded, 0, least)
-    groups = groups.unionByName(more)
-    if rest.isEmpty():
-        return groups
+        return edges
 
     def run(t: pa.Table) -> pa.Table:
-        group, node = members(connected(columns_of(t), 0, least), t["node"].to_numpy())
-        return pa.table({"a": pa.array(group, pa.int64()), "b": pa.array(node, pa.int64())})
+        node = t["node"].to_numpy()
+        found = connected(columns_of(t), 0, least)
+        return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()), "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
 
-    return groups.unionByName(in_blocks(rest, RUN // 2).groupBy("key").applyInArrow(run, "a long, b long"))
+    return edges.unionByName(rest.groupBy("key").applyInArrow(run, "a long, b long"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -399,18 +395,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
 
 
 def sketched(docs: DataFrame, shingle: int, anchors: int, seed: int = SEED) -> DataFrame:
-    """key (anchor), node, n (distinct shingles), grade, sketches (the second only where a similar text can have a higher grade), `anchors` rows a document."""
+    """node, n (distinct shingles), grade, sketches (the second only where a similar text can have a higher grade), anchors, of the texts (node, text) with words."""
     salts = np.array([xxhash.xxh64_intdigest(bytes([k]), seed) | 1 for k in range(anchors)], np.uint64)
+    places = np.arange(anchors, dtype=np.uint64)
 
     def sketch(values: np.ndarray, grade: int) -> np.ndarray:
         kept = values[(values >> np.uint64(40)) % np.uint64(1 << grade) == 0] if grade else values
-        out = np.zeros(SKETCH_BITS, np.uint8)
-        np.bitwise_xor.at(out, (kept % np.uint64(SKETCH_BITS)).astype(np.int64), 1)
-        return np.packbits(out, bitorder="little").view(np.uint64)
+        out = np.bincount((kept % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+        return np.packbits(out.astype(np.uint8), bitorder="little").view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            key, node, n, grades, sketches = [], [], [], [], []
+            node, n, grades, sketches, keys = [], [], [], [], []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = lower_words(text)
                 if not words:
@@ -420,15 +416,17 @@ def sketched(docs: DataFrame, shingle: int, anchors: int, seed: int = SEED) -> D
                 both = sketch(values, grade).tobytes()
                 if len(values) >= SKETCHED // 4:
                     both += sketch(values, grade + 1).tobytes()
-                for k, salt in enumerate(salts):
-                    key.append(int(mixed(mixed(values * salt).min(keepdims=True) + np.uint64(k))[0]))
-                    node.append(doc_id)
-                    n.append(len(values))
-                    grades.append(grade)
-                    sketches.append(both)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(grades, pa.int64()), pa.array(sketches, pa.binary())], names=["key", "node", *SKETCH_FIELDS])
+                least = np.array([mixed(values * salt).min() for salt in salts], np.uint64)
+                node.append(doc_id)
+                n.append(len(values))
+                grades.append(grade)
+                sketches.append(both)
+                keys.append(mixed(least + places).view(np.int64))
+            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, anchors), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(grades, pa.int64()), pa.array(sketches, pa.binary()), lists], names=["node", *SKETCH_FIELDS, "anchors"])
 
-    return docs.mapInArrow(run, "key long, node long, n long, grade long, sketches binary")
+    return docs.mapInArrow(run, "node long, n long, grade long, sketches binary, anchors array<long>")
 
 
 def in_blocks(rows: DataFrame, most: int) -> DataFrame:
@@ -464,44 +462,43 @@ def exactly_linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]
     return edges
 
 
-def verified(groups: DataFrame, rows: DataFrame, shingle: int, least: float, seed: int = SEED) -> DataFrame:
-    """Edges (a, b) by the exact similarity of the texts of groups (a: group, b: node)."""
+def verified(classes: DataFrame, rows: DataFrame, shingle: int, least: float, seed: int = SEED) -> DataFrame:
+    """Edges (a, b) by the exact similarity of the texts of classes (node, component)."""
 
     def run(t: pa.Table) -> pa.Table:
         node = t["node"].to_pylist()
         found = exactly_linked([np.unique(hashes(lower_words(x.as_py()), shingle, seed)) for x in t["text"]], least)
         return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
 
-    dealt = in_blocks(written(groups.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "groups"), MEMBERS)
-    # merge: both sides grow with the documents
-    texts = dealt.hint("merge").join(rows.select(F.col("row").alias("node"), "doc.text"), "node").select("key", "node", "text")
+    dealt = written(in_blocks(classes.select(F.col("component").alias("key"), "node"), MEMBERS), "members")
+    texts = rows.select(F.col("row").alias("node"), "doc.text").join(dealt, "node").select("key", "node", "text")
     return texts.groupBy("key").applyInArrow(run, "a long, b long")
 
 
+def classes_of(edges: DataFrame) -> DataFrame:
+    """node, component of all nodes that edges name, a component's own node too."""
+    found = components(edges)
+    return written(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "classes")
+
+
 def one_of_each_group(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = SIMILARITY, anchors: int = ANCHORS) -> DataFrame:
     """docs with one document (the smallest doc_id) of each group of near copies.
 
     Texts link when their sets of shingles have a Jaccard similarity of `least` or more. Texts of equal words are one node;
     others meet under a shared MinHash anchor (at a similarity of 0.8 all eight miss once in 390,000 pairs), where the
     sketches of their shingles must be roughly similar; then the sets of shingles themselves decide. Texts without words
-    are one group.
+    are one group. Whether a table of ids is broadcast to the documents or merged with them is left to its written size.
     """
     spaced = F.translate(ascii_lower(F.coalesce("text", F.lit(""))), "\t\n\x0b\f\r", "     ")
     digest = F.unhex(F.sha2(F.trim(F.regexp_replace(spaced, " +", " ")), 256))
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), digest.alias("digest"), F.struct("*").alias("doc")), "rows")
-    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    texts = written(rows.select("row", "doc.doc_id", "digest").groupBy("digest").agg(first.alias("node")), "texts")
-    whole = texts.join(rows, texts["node"] == rows["row"]).select("node", "doc.text")
-    groups = groups_of(sketched(whole, shingle, anchors), least, min(LOOSE, least - 0.1))
-    found = components_by_order(verified(groups, rows, shingle, least), rows)
-    dropped = texts.join(found, "node", "left").filter("keep is null or keep").select("node")
-    return rows.join(dropped, rows["row"] == dropped["node"], "left_semi").select("doc.*")
-
-
-def components_by_order(edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """node, keep: true for the node of a component whose document comes first by doc_id."""
-    found = components(edges)
-    alone = found.select(F.col("component").alias("node"), "component").distinct()
-    members = found.unionByName(alone).join(rows.select(F.col("row").alias("node"), "doc.doc_id"), "node")
-    best = members.groupBy("component").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
-    return members.join(best, "component").select("node", (F.col("node") == F.col("best")).alias("keep"))
+    first = F.min(F.struct(F.col("doc.doc_id").isNull().alias("no_id"), "doc.doc_id", "row")).alias("first")
+    texts = written(rows.groupBy("digest").agg(first).select("digest", "first.*").withColumnRenamed("row", "node"), "texts")
+    features = written(sketched(rows.select(F.col("row").alias("node"), "doc.text"), shingle, anchors), "features").join(texts.select("node"), "node", "left_semi")
+    loose = classes_of(loosely_linked(features, least, min(LOOSE, least - 0.1)))
+    classes = classes_of(verified(loose, rows, shingle, least))
+    best = classes.join(texts.select("node", "no_id", "doc_id"), "node").groupBy("component").agg(F.min_by("node", F.struct("no_id", "doc_id", "node")).alias("node"))
+    near = classes.select("node").join(best.select("node"), "node", "left_anti").select(F.col("node").alias("row"))
+    copies = rows.select("row", "digest").join(texts.select("digest", "node"), "digest").filter("row <> node").select("row")
+    dropped = written(near.unionByName(copies), "dropped")
+    return rows.join(dropped, "row", "left_anti").select("doc.*")
