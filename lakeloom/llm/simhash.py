@@ -34,8 +34,8 @@ from .common import ascii_lower, lower_words, pieces, scratch, written
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Rows with one key that a task compares at once; longer runs are split further, then compared in blocks of this size.
 RUN = 8_192
-#: How often a run that is too long gets a finer key, and the blocks into which it falls after that.
-LEVELS, BLOCKS = 2, 64
+#: How often a run that is too long gets a finer key before it falls into blocks.
+LEVELS = 2
 #: Near-duplicate stages: words of a shingle, least similarity, MinHash anchors a document.
 STAGE_SHINGLE, SIMILARITY, ANCHORS = 5, 0.8, 8
 SKETCH_BITS = 4_096
@@ -296,17 +296,14 @@ def varied(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def blockwise(rows: DataFrame, bits: int) -> DataFrame:
-    """The exact way for runs that no key splits any more: each block of a run against itself and, one by one, the later blocks."""
-    spread = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(BLOCKS)))
-    pairs = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    pairs = pairs.withColumn("key", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))).drop("block", "with")
+    """The exact way for runs that no key splits any more: blocks of a run, as many as its length asks for, each against itself and the others."""
 
-    def run(_, t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> pa.Table:
         node = t["node"].to_numpy()
         found = connected({"fp": t["fp"].to_numpy().view(np.uint64)}, bits, None)
         return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()), "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
 
-    return pairs.groupBy("key").applyInArrow(run, "a long, b long")
+    return in_blocks(rows, max(1, RUN // 2)).groupBy("key").applyInArrow(run, "a long, b long")
 
 
 def columns_of(t: pa.Table) -> dict:
