@@ -1,13 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes its text blocks in order, each with its root-to-leaf tag path. Paths gather text length, punctuation and
-link text; the ratios of a path (text per block, punctuation per block, text outside links) are fused into its score, the
-scores of the blocks are smoothed along the page by a Gaussian, and a path whose smoothed mean reaches a share of the
-page's spread is a content path. The deepest element that holds all content text bounds the article; what stands
-in it, but for elements that are never content (menus, forms, notices and so on), is its text.
+A page becomes its text blocks in order, each with its root-to-leaf path of tags and classes. Paths gather text length,
+punctuation and link text. A path's text and punctuation per block are smoothed along the page by a Gaussian and fused
+(with its share of text outside links, and a small factor where the path's names say that it is a menu, an advert, a
+notice, comments and so on); a path whose mean reaches a share of the page's mean is a content path. A heading begins a
+part of its own, across whose start nothing is smoothed, and counts as the block that follows it.
+
+The blocks of content paths are the content nodes. The deepest element that holds them all bounds the article. In it stand
+blocks that are too short for a ratio of their own (list items, cells, code, captions): they come out where they are
+neighbours of content nodes, unless their path is one of links or of such names. Elements that can't be content (forms,
+scripts, nav, footer, what is hidden, ...) are left out from the start; where a page has nothing but a form, the form is read.
 
 Defined results: a null or empty html, or one without text, gives an empty text; a null url stays null; equal page_ids
-keep a row each; broken markup (unclosed, crossed or cut tags) is read as far as it goes; an empty table gives no rows.
+keep a row each; broken markup (unclosed, crossed or cut tags) is read as far as it goes; elements nested deeper than
+DEPTH stand beside each other, as browsers have it; an empty table gives no rows; other columns are left alone. The time
+is linear in the page.
 """
 
 from __future__ import annotations
@@ -28,47 +35,40 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("nav footer aside form button menu dialog fieldset label input select head script style".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id or role of elements that are never content, outside what a page marks as its article.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored sponsors promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
-    "header masthead topbar footer bottom colophon copyright sidebar aside widget widgets related recommended recommendations share sharing social comment comments commentlist respond reply replies "
-    "disqus discussion feedback cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search form toolbar complementary contentinfo skip".split()
-)
-#: Whole class names and roles, none of which an article's own parts have, that are never content inside an article either.
-INSIDE = frozenset(
+TEXTUAL = HEADINGS | frozenset("p li ul ol dl dt dd pre blockquote table thead tbody tfoot tr td th caption figure figcaption details summary address hgroup".split())
+# Whole class names, ids and roles of what is never an article's text. SURE ones hold inside article and main too.
+SURE = frozenset(
     "ad ads adbox advert adverts advertisement advertising ad-banner ad-container ad-slot ad-unit sponsored navbar navigation breadcrumb breadcrumbs pagination pager sidebar complementary contentinfo search toolbar dialog "
     "share-bar share-buttons share-links social-share social-links sharing-buttons related-posts related-articles comments commentlist comment-list comment-form comment-respond disqus_thread "
     "cookie-banner cookie-consent cookie-notice popup modal newsletter newsletter-form newsletter-signup subscribe-form".split()
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>|<\?[^>]*>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
+OUTSIDE = SURE | frozenset("header masthead topbar top-bar site-header banner footer site-footer bottom copyright menu nav widget widgets related share sharing social comment notice notices alert cookie cookies consent gdpr promo promotion sponsor sponsors subscribe signup login".split())
 #: What an opening tag of the key closes, if it is the innermost block that is open.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-WIDTH, SHARE = 1.0, 0.5
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN = re.compile(r"[^>\"']*")
+ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
+#: Width of the Gaussian in blocks; the share of the page's mean that a content path reaches; the factor of paths with names of what is never content.
+WIDTH, SHARE, NAMED = 0.4, 0.35, 0.02
+DEPTH = 512
 
 
 class Element:
-    __slots__ = ("tag", "up", "path", "never", "link", "depth")
-
-    def __init__(self, tag: str, up: Element | None, marks: set[str], names: set[str] = frozenset(), hidden: bool = False) -> None:
-        """marks: words of class, id and role; names: whole class names and roles."""
-        self.tag, self.up = tag, up
-        inside = up is not None and up.holds_article()
-        marked = bool(names & INSIDE) and tag not in HEADINGS if inside else bool(marks & MARKS)
-        named = tag in NEVER or tag == "header" and not inside or (marked or hidden) and tag not in ("html", "body", "article", "main")
-        self.never = named or up is not None and up.never or tag == "article" and bool(marks & {"comment", "reply", "advert", "ad", "promo", "sponsored"})
-        self.link = tag == "a" or up is not None and up.link
-        self.path = f"{up.path}/{tag}" if up else tag
-        self.depth = up.depth + 1 if up else 0
-
-    def holds_article(self) -> bool:
-        at: Element | None = self
-        while at is not None:
-            if at.tag in ("article", "main"):
-                return True
-            at = at.up
-        return False
+    __slots__ = ("tag", "up", "path", "never", "link", "named", "inside", "depth", "holds")
+
+    def __init__(self, tag: str, up: Element | None, path: int, names: set[str] = frozenset(), hidden: bool = False, forms: bool = False) -> None:
+        """path: the number of its tag path; names: class names, ids and roles."""
+        self.tag, self.up, self.path, self.holds = tag, up, path, False
+        above = up if up is not None else self
+        self.depth = up.depth + 1 if up is not None else 0
+        was = up is not None and up.inside
+        self.inside = was or tag in ("article", "main")
+        called = bool(names & (SURE if was else OUTSIDE)) and tag not in HEADINGS and tag not in ("html", "body", "main")
+        self.named = called or up is not None and above.named
+        never = tag in NEVER and not (forms and tag in ("form", "fieldset")) or tag == "header" and not was or hidden and tag not in ("html", "body")
+        self.never = never or up is not None and above.never
+        self.link = tag == "a" or up is not None and above.link
 
 
 class Block:
@@ -78,13 +78,57 @@ class Block:
         self.element, self.text, self.linked = element, text, linked
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks of a page in order, character references decoded, white space made single."""
+def tags_of(page: str) -> Iterator[tuple[int, int, bool, str | None]]:
+    """(start, end, closing, name) of the tags of a page, and of comments and declarations (without a name); linear."""
+    at, last, hopeless = 0, page.rfind(">"), set()
+
+    def end_of(place: int) -> int:
+        """Behind the > of a tag; quoted values may hold one. Places from which no > follows outside quotes are remembered."""
+        begin, seen = place, []
+        while place not in hopeless:
+            seen.append(place)
+            place = PLAIN.match(page, place).end()
+            if place >= len(page):
+                break
+            if page[place] == ">":
+                return place + 1
+            # only behind = does a quotation mark begin a value
+            if page[begin:place][-16:].rstrip()[-1:] == "=":
+                place = page.find(page[place], place + 1)
+                if place < 0:
+                    break
+            place += 1
+        hopeless.update(seen)
+        return page.find(">", begin) + 1
+
+    while 0 <= (start := page.find("<", at)) < last:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, False, None
+            continue
+        closing = page.startswith("/", start + 1)
+        name = NAME.match(page, start + 1 + closing)
+        if name:
+            at = end_of(name.end())
+            yield start, at, closing, name[0].lower()
+        elif page[start + 1] in "!?":
+            at = page.find(">", start) + 1
+            yield start, at, False, None
+        else:
+            at = start + 1
+
+
+def blocks_of(page: str, forms: bool = False) -> list[Block]:
+    """Text blocks of a page in order, character references decoded, white space made single; without what is never content."""
     out: list[Block] = []
-    at = Element("", None, set())
+    paths: dict[tuple[int, str], int] = {}
+    at = Element("", None, 0)
+    open_: dict[str, int] = {}
     parts: list[str] = []
     linked = 0
     holder = at
+    unclosed: set[str] = set()
 
     def end() -> None:
         nonlocal parts, linked
@@ -97,7 +141,7 @@ def blocks_of(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal linked, holder
-        if text:
+        if text and not at.never:
             if not parts:
                 holder = at
                 while holder.tag not in BLOCK and holder.up is not None:
@@ -106,138 +150,180 @@ def blocks_of(page: str) -> list[Block]:
             if at.link:
                 linked += len(text)
 
-    place, raw_end = 0, -1
-    for m in TAG.finditer(page):
-        if m.start() < raw_end:
+    def leave(up: Element | None) -> None:
+        """Closes what is open up to, and without, an element."""
+        nonlocal at
+        while at is not up:
+            open_[at.tag] -= 1
+            at = at.up
+
+    place, skip = 0, 0
+    for start, stop, closing, tag in tags_of(page):
+        if start < skip:
             continue
-        if m.start() > place:
-            say(page[place : m.start()])
-        place = m.end()
-        tag = m[2]
+        if start > place:
+            say(page[place:start])
+        place = stop
         if tag is None:
             continue
-        tag = tag.lower()
-        if not m[1]:
+        if not closing:
             if tag in BLOCK:
                 end()
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+            attributes = page[start + 1 + len(tag) : stop - 1]
+            if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, place)
-                place = raw_end = close.end() if close else len(page)
-                continue
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, place) if tag not in unclosed else None
+                if close:
+                    place = skip = close.end()
+                    continue
+                # what is never closed is read on, but for code
+                unclosed.add(tag)
+                if tag in ("script", "style"):
+                    place = skip = len(page)
+                    continue
             if closes := CLOSES.get(tag):
                 inner: Element | None = at
                 while inner is not None and inner.tag not in BLOCK:
                     inner = inner.up
                 if inner is not None and inner.tag in closes and inner.up is not None:
-                    at = inner.up
-            marks: set[str] = set()
+                    leave(inner.up)
             names: set[str] = set()
             hidden = False
-            for name, a, b, c in ATTRIBUTE.findall(m[3]) if m[3] else ():
-                value = a or b or c
-                if name.lower() == "hidden" or name.lower() == "aria-hidden" and value.lower() == "true":
+            classes = ""
+            for name, a, b, c in ATTRIBUTE.findall(attributes) if len(attributes) > 2 else ():
+                value, name = (a or b or c).lower(), name.lower()
+                if name == "hidden" or name == "aria-hidden" and value == "true":
                     hidden = True
-                else:
-                    if name.lower() in ("class", "role"):
-                        names.update(value.lower().split())
-                    marks.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
-            at = Element(tag, at, marks, names, hidden)
+                elif name != "aria-hidden":
+                    names.update(value.split())
+                    if name == "class":
+                        classes = ".".join(sorted(value.split()))
+            if at.depth >= DEPTH:
+                leave(at.up)
+            # a path's number stands for its tags and classes from the root, and for ids and roles where they count
+            key = (at.path, f"{tag}.{classes} {names & OUTSIDE and 'named'}")
+            at = Element(tag, at, paths.setdefault(key, len(paths) + 1), names, hidden, forms)
+            open_[tag] = open_.get(tag, 0) + 1
         else:
             if tag in BLOCK:
                 end()
-            found: Element | None = at
-            while found is not None and found.tag != tag:
-                found = found.up
             # A stray end tag closes nothing; one of a text style doesn't close blocks.
-            if found is not None and found.up is not None:
-                crossed: Element | None = at
-                while tag not in BLOCK and crossed is not found and crossed is not None and crossed.tag not in BLOCK:
-                    crossed = crossed.up
-                if tag in BLOCK or crossed is found:
-                    at = found.up
+            if open_.get(tag):
+                found: Element | None = at
+                while found is not None and found.tag != tag and (tag in BLOCK or found.tag not in BLOCK):
+                    found = found.up
+                if found is not None and found.tag == tag and found.up is not None:
+                    leave(found.up)
     if place < len(page):
         rest = page[place:]
-        cut = re.search(r"<(?:/?[a-zA-Z]|!)[^>]*\Z", rest)
+        cut = re.search(r"<(?:/?[a-zA-Z]|!)[^<>]*\Z", rest)
         say(rest[: cut.start()] if cut else rest)
     end()
     return out
 
 
-def smoothed(values: list[float], width: float = WIDTH) -> list[float]:
+def smoothed(values: list[float], part: list[int], width: float = WIDTH) -> list[float]:
+    """Values smoothed along the page, each among those of its own part."""
     reach = max(1, math.ceil(2 * width))
     weights = [math.exp(-k * k / (2 * width * width)) for k in range(reach + 1)]
     out = []
     for i in range(len(values)):
         total = mass = 0.0
-        for k in range(-reach, reach + 1):
-            if 0 <= i + k < len(values):
-                total += values[i + k] * weights[abs(k)]
-                mass += weights[abs(k)]
+        for k in range(max(0, i - reach), min(len(values), i + reach + 1)):
+            if part[k] == part[i]:
+                total += values[k] * weights[abs(i - k)]
+                mass += weights[abs(i - k)]
         out.append(total / mass)
     return out
 
 
-def content_paths(blocks: list[Block]) -> set[str]:
-    """Paths whose fused, smoothed ratios reach the threshold."""
-    sums: dict[str, list[float]] = {}
+def content_paths(blocks: list[Block]) -> set[int]:
+    """Paths whose smoothed, fused ratios reach the threshold."""
+    sums: dict[int, list[float]] = {}
     for b in blocks:
         s = sums.setdefault(b.element.path, [0.0, 0.0, 0.0, 0.0])
         s[0] += 1
         s[1] += len(b.text)
         s[2] += len(PUNCTUATION.findall(b.text))
         s[3] += min(b.linked, len(b.text))
-    score = {p: (c / n) * (0.1 + u / n) * (1 - linked / c) for p, (n, c, u, linked) in sums.items()}
-    along = smoothed([score[b.element.path] for b in blocks])
-    mean = sum(along) / len(along)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in along) / len(along))
-    by_path: dict[str, list[float]] = {}
-    for b, x in zip(blocks, along, strict=True):
-        by_path.setdefault(b.element.path, []).append(x)
-    return {p for p, xs in by_path.items() if sum(xs) / len(xs) >= min(SHARE * spread, mean)}
+    # a heading begins a part, and stands for what follows it
+    stands, following, part = [b.element.path for b in blocks], None, []
+    for b in blocks:
+        part.append((part[-1] if part else 0) + (b.element.tag in HEADINGS))
+    for i in range(len(blocks) - 1, -1, -1):
+        if blocks[i].element.tag not in HEADINGS:
+            following = i
+        elif following is not None:
+            stands[i] = blocks[following].element.path
+    text = smoothed([sums[p][1] / sums[p][0] for p in stands], part)
+    marks = smoothed([sums[p][2] / sums[p][0] for p in stands], part)
+    by_path: dict[int, list[float]] = {}
+    for b, p, t, m in zip(blocks, stands, text, marks, strict=True):
+        outside = 1 - sums[p][3] / sums[p][1]
+        by_path.setdefault(b.element.path, []).append(math.sqrt(t * (0.1 + m)) * outside * (NAMED if b.element.named else 1.0))
+    mean = sum(map(sum, by_path.values())) / len(blocks)
+    return {p for p, xs in by_path.items() if sum(xs) / len(xs) >= SHARE * mean}
 
 
 def main_text(page: str | None) -> str:
     """The article of a page."""
     if not page:
         return ""
-    blocks = [b for b in blocks_of(page) if not b.element.never]
+    blocks = blocks_of(page) or blocks_of(page, forms=True)
     if not blocks:
         return ""
-    # Where a page marks its article, the ratios choose among what it marks.
-    marked = [b for b in blocks if b.element.holds_article()]
-    if marked:
-        blocks = marked
     chosen = content_paths(blocks)
-    weight: dict[int, int] = {}
-    elements: dict[int, Element] = {}
-    total = 0
-    for b in blocks:
-        if b.element.path in chosen:
-            total += len(b.text)
-            at: Element | None = b.element
-            while at is not None:
-                weight[id(at)] = weight.get(id(at), 0) + len(b.text)
-                elements[id(at)] = at
-                at = at.up
-    root = max((e for k, e in elements.items() if weight[k] == total), key=lambda e: e.depth, default=None)
-    if root is None:
+    nodes = [i for i, b in enumerate(blocks) if b.element.path in chosen]
+    if not nodes:
         return ""
-    if root.up is not None and root.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "pre", "blockquote", "tr", "ul", "ol", "dl", "dd", "dt", "table", "tbody"):
-        root = root.up
-    while marked and root.up is not None and root.tag not in ("article", "main") and root.up.holds_article():
+    # The deepest element that holds all content nodes; those that hold one are marked on the way.
+    root = blocks[nodes[0]].element
+    for i in nodes:
+        at: Element | None = blocks[i].element
+        while at is not None and not at.holds:
+            at.holds, at = True, at.up
+        while root.depth > blocks[i].element.depth:
+            root = root.up
+        at = blocks[i].element
+        while at.depth > root.depth:
+            at = at.up
+        while at is not root:
+            at, root = at.up, root.up
+    while root.tag in TEXTUAL and root.up is not None:
         root = root.up
-    out = []
+    links: dict[int, list[int]] = {}
     for b in blocks:
-        at = b.element
-        while at is not None and at is not root:
-            at = at.up
-        if at is root:
+        s = links.setdefault(b.element.path, [0, 0])
+        s[0] += len(b.text)
+        s[1] += min(b.linked, len(b.text))
+    out = []
+    for i, b in enumerate(blocks):
+        if b.element.path in chosen:
+            out.append(b.text)
+            continue
+        if b.element.named:
+            continue
+        # the highest element with this block and no content node: what stands beside content
+        top = b.element
+        while top.up is not None and not top.up.holds and top is not root:
+            top = top.up
+        if not below(b.element, root):
+            continue
+        length, linked = links[b.element.path]
+        if 2 * linked > length and top.tag != "p":
+            continue
+        if b.element.holds or top.tag in TEXTUAL or top.tag not in BLOCK or nodes[0] < i < nodes[-1]:
             out.append(b.text)
     return "\n".join(out)
 
 
+def below(at: Element | None, root: Element) -> bool:
+    while at is not None and at.depth > root.depth:
+        at = at.up
+    return at is root
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 

@@ -338,6 +338,76 @@ def test_html_keeps_parts_of_an_article_whose_names_sound_like_others():
     assert html_extract.main_text(page) == "Title\nThe share price fell.\nSo x and a figure hold.\nRelated work\nOthers did.\nIt was found."
 
 
+def plain_page(k, wrap="div", junk=True):
+    """A page of a known article: lists, a table, code and a quotation in it, boilerplate around it."""
+    word = lambda n: " ".join(f"word{(i * 7 + k) % 31}" for i in range(n))
+    parts = [("h1", f"Title {k}"), *[("p", f"{word(30)}, {word(12)}. {word(9)}; {word(20)}.") for _ in range(4 + k % 3)], ("h2", "A part"), ("li", "one"), ("li", "two"), ("td", "1"), ("td", "2"), ("pre", "x = 1"), ("p", f"{word(25)}: {word(8)}, {word(9)}.")]
+    inside = "".join({"li": f"<ul><li>{t}</li></ul>", "td": f"<table><tr><td>{t}</td></tr></table>"}.get(tag, f"<{tag}>{t}</{tag}>") for tag, t in parts)
+    around = ("<nav><a href=/>Home</a></nav><div class=sidebar><p>" + word(30) + ", and, so, on.</p></div>", "<div class='related-posts'><ul><li><a href=a>Other</a></li></ul></div><div id=comments><p>" + word(40) + ". Nice, I say.</p></div><footer>Us</footer>") if junk else ("", "")
+    return f"<html><body>{around[0]}<{wrap}>{inside}</{wrap}>{around[1]}</body></html>", "\n".join(t for _, t in parts)
+
+
+def test_html_without_article_or_main():
+    for k in range(12):
+        for wrap in ("div", "section", "article", "td"):
+            page, want = plain_page(k, wrap)
+            assert html_extract.main_text(page) == want
+
+
+def test_html_is_chosen_by_the_ratios(monkeypatch):
+    """With every path taken for a content path, boilerplate comes out; with none, nothing does."""
+    pages = [plain_page(k) for k in range(5)]
+    monkeypatch.setattr(html_extract, "content_paths", lambda blocks: {b.element.path for b in blocks})
+    assert all(html_extract.main_text(p) != want for p, want in pages)
+    monkeypatch.setattr(html_extract, "content_paths", lambda blocks: set())
+    assert all(html_extract.main_text(p) == "" for p, _ in pages)
+
+
+def test_html_agrees_with_a_parser_on_the_pages(spark):
+    """The article element, read by another parser, on the tables' pages, whose ratios know nothing of it."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.on, self.parts = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.on += tag == "article"
+            if tag in html_extract.BLOCK:
+                self.parts.append("")
+
+        def handle_endtag(self, tag):
+            self.on -= tag == "article"
+            if tag in html_extract.BLOCK:
+                self.parts.append("")
+
+        def handle_data(self, data):
+            if self.on:
+                self.parts[-1] += data
+
+    ship(spark)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    texts = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r.html or "")
+        assert texts[r.page_id] == "\n".join(x for x in (" ".join(p.split()) for p in parser.parts) if x)
+        unmarked = (r.html or "").replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_extract.main_text(unmarked) == texts[r.page_id]
+
+
+def test_html_of_hostile_pages_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ('<a "' * 20_000, "<div>x" * 20_000, '<a ="x>' * 20_001 + '"', "<title>" * 20_000 + "x", "<b><p></b>" * 20_000, "<i>" * 20_000 + "</b>" * 20_000, "<!--" * 20_000, "<" * 50_000 + ">"):
+        html_extract.main_text(page)
+    assert time.perf_counter() - began < 15
+    assert html_extract.main_text("<title>one<p>two") == "one\ntwo"
+    assert html_extract.main_text("<form><p>All of the page, in a form.</p></form>") == "All of the page, in a form."
+
+
 def test_warc(spark):
     ship(spark)
     big = "é" * 600
