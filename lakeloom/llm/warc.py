@@ -1,8 +1,10 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are range-sorted by page_id; each task rolls its files by compressed size, regenerates headers and digests, writes
-each file under a temporary name, moves it to its final one, and reports it. The driver commits the files in a manifest;
-a file that no manifest names doesn't exist for readers. A retried task writes the same bytes.
+Records are range-sorted by page_id. The ranges follow from the data alone: ids are counted, by bytes, in bins of their
+leading bits, heavy bins in finer ones, and cut where a range is full; an id heavier than a range is cut by its digests. So
+equal pages give equal files, whatever the session, its partitions or retries. Each range rolls its files by compressed
+size, regenerates headers and digests, writes each file under a temporary name and moves it to its final one. The driver
+commits the files in a manifest; a file that no manifest names doesn't exist for readers.
 
 Of records with equal payloads of at least `least` bytes, the one with the largest page_id is the response and the others
 are revisits of it.
@@ -20,6 +22,8 @@ import json
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +33,11 @@ from .files import commit, get, opened, put, temporary
 
 LEAST = 1000
 ROLL_BYTES = 256_000_000
+#: Ranges that an archive falls into at least (of RANGE_LEAST bytes or more), and bytes of payload a range has at most.
+RANGES, RANGE_LEAST, RANGE_BYTES = 64, 1 << 18, 1 << 30
+#: Bytes that a record has besides its payload, and bins into which heavy bins are cut.
+RECORD_BYTES, FINER = 512, 6
+FIRST = -(1 << 63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WRITTEN = "file string, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string"
@@ -80,7 +89,7 @@ def clean_url(url: str | None) -> str:
 
 
 class Roller:
-    """Writes members to files of one task, a new one once a file has reached the size."""
+    """Writes members to files of one range, a new one once a file has reached the size."""
 
     def __init__(self, folder: str, task: int, limit: int) -> None:
         self.fs, self.folder = opened(folder)
@@ -106,41 +115,108 @@ class Roller:
             self.out, self.number = None, self.number + 1
 
 
-def write_archive(pages: DataFrame, folder: str, least: int = LEAST, roll_bytes: int = ROLL_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def range_starts(sizes: DataFrame, ranges: int = RANGES, least: int = RANGE_LEAST, most: int = RANGE_BYTES) -> list[tuple[int, int]]:
+    """Starts (page_id, first 32 bits of the digest) of the ranges of rows (page_id, bytes), in order; a null id counts as the least one.
+
+    The driver sees a few dozen bins for each range.
+    """
+    rows = sizes.select(F.coalesce("page_id", F.lit(FIRST)).alias("k"), (F.col("bytes") + RECORD_BYTES).alias("w"))
+    total, low, high = rows.agg(F.sum("w"), F.min("k"), F.max("k")).first()
+    starts = [(FIRST, 0)]
+    if total is None:
+        return starts
+    goal = min(most, max(least, -(-total // ranges)))
+    shift = max(0, (high - low).bit_length() - (-(-total // goal)).bit_length() - 4)
+    leaves: list[tuple[int, int, int]] = []
+    while True:
+        bins = [tuple(r) for r in rows.groupBy(F.shiftright("k", shift).alias("bin")).agg(F.sum("w").alias("w")).collect()]
+        heavy = [b for b, w in bins if w > goal and shift]
+        leaves += [(b << shift, w, shift) for b, w in bins if w <= goal or not shift]
+        if not heavy:
+            break
+        inside = rows.sparkSession.createDataFrame([(b,) for b in heavy], "bin long")
+        rows = rows.join(inside, F.shiftright("k", shift) == F.col("bin"), "left_semi")
+        shift = max(0, shift - FINER)
+    held = 0
+    for k, w, _ in sorted(leaves):
+        if held and held + w > goal:
+            starts.append((k, 0))
+            held = 0
+        held += w
+        if w > goal:
+            parts = -(-w // goal)
+            starts += [(k, (j << 32) // parts) for j in range(1, parts)]
+            held = goal
+    return starts
+
+
+def range_of(starts: list[tuple[int, int]]):
+    """A function of arrays (ids, first 32 bits of digests): the number of the range that holds each."""
+    ids = np.array(sorted({k for k, _ in starts}), np.int64)
+    places = np.searchsorted(ids, np.array([k for k, _ in starts], np.int64)).astype(np.uint64)
+    edges = places << np.uint64(33) | np.array([d for _, d in starts], np.uint64)
+
+    def of(k: np.ndarray, digest: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(ids, k, side="right") - 1
+        # past a start's own id all of its digests lie behind
+        bits = np.where(ids[at] == k, digest.astype(np.uint64), np.uint64(1 << 32))
+        return (np.searchsorted(edges, at.astype(np.uint64) << np.uint64(33) | bits, side="right") - 1).astype(np.int32)
+
+    return of
+
+
+def write_archive(pages: DataFrame, folder: str, least: int = LEAST, roll_bytes: int = ROLL_BYTES, date: str = "2024-01-01T00:00:00Z", ranges: int = RANGES, range_least: int = RANGE_LEAST) -> DataFrame:
     """Writes pages (page_id, url, html) as an archive in folder; returns the manifest: file, records, bytes, sha256."""
-    spark = pages.sparkSession
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    # The ids of equal payloads: hashes only, combined before the shuffle; written out so that its size decides how it is joined.
-    groups = rows.filter(F.octet_length("payload") >= least).groupBy(F.unhex(F.sha1("payload")).alias("digest")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    groups = written(groups.filter("n > 1").select("digest", "keeper"), "equal-payloads")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    # Ids, digests and sizes alone say what is equal and where ranges begin; written out so that their size decides how they are joined.
+    sizes = written(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes")), "sizes")
+    groups = sizes.filter(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups.filter("n > 1").select("digest", "keeper"), "equal-payloads")
     rows = rows.join(groups, (rows["digest"] == groups["digest"]) & (F.octet_length("payload") >= least), "left").select("page_id", "url", "payload", rows["digest"], "keeper")
-    rows = rows.repartitionByRange("page_id").sortWithinPartitions(F.col("page_id").asc_nulls_first(), "digest", "url")
+    starts = range_starts(sizes, ranges, range_least)
+    of = range_of(starts)
+
+    @F.pandas_udf("int")
+    def number(k: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series(of(k.to_numpy(), digest.to_numpy()))
+
+    key = F.coalesce("page_id", F.lit(FIRST)), F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    rows = rows.withColumn("range", number(*key)).repartition("range").sortWithinPartitions("range", F.col("page_id").asc_nulls_first(), "digest", "url")
     fs, path = opened(folder)
     fs.create_dir(path, recursive=True)
+    parted = {n: k for n, (k, d) in enumerate(starts) if d}
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        roller, last, copies, kept = Roller(folder, TaskContext.get().partitionId(), roll_bytes), None, 0, set()
-        first = True
+        roller, last, copies, kept = None, None, 0, set()
+        done: list[tuple[str, int, int, str]] = []
         for batch in pieces(batches, 2):
-            for page_id, url, payload, digest, keeper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if first or page_id != last:
-                    copies, kept, last, first = 0, set(), page_id, False
+            for page_id, url, payload, digest, keeper, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = roller is None or roller.task != part
+                if new:
+                    if roller is not None:
+                        roller.close()
+                        done += roller.done
+                    roller = Roller(folder, part, roll_bytes)
+                if new or page_id != last:
+                    # an id that goes on from the range before has copies of its own numbers
+                    copies = part << 32 if parted.get(part) == (FIRST if page_id is None else page_id) else 0
+                    kept, last = set(), page_id
                 revisit = keeper is not None and (page_id != keeper or digest in kept)
                 if keeper is not None and page_id == keeper:
                     kept.add(digest)
                 roller.add(record("revisit" if revisit else "response", page_id, copies, clean_url(url), payload, digest, keeper if revisit else None, date))
                 copies += 1
-        roller.close()
-        names, counts, sizes, hashes = zip(*roller.done, strict=True) if roller.done else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string())], names=["file", "records", "bytes", "sha256"])
-
-    manifest = written(rows.mapInArrow(write, WRITTEN), "manifest")
-    # One small row for each file of roll_bytes: the only thing that the driver holds.
+        if roller is not None:
+            roller.close()
+            done += roller.done
+        names, counts, bytes_, hashes = zip(*done, strict=True) if done else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(bytes_, pa.int64()), pa.array(hashes, pa.string())], names=["file", "records", "bytes", "sha256"])
+
+    manifest = written(rows.select("page_id", "url", "payload", "digest", "keeper", "range").mapInArrow(write, WRITTEN), "manifest")
+    # One small row for each file: the only thing that the driver holds.
     files = [r.asDict() for r in manifest.orderBy("file").toLocalIterator()]
-    put(f"{folder}/manifest.json", json.dumps({"written": date, "files": files}, indent=0).encode())
+    put(f"{folder}/manifest.json", json.dumps({"written": date, "starts": starts, "files": files}, indent=0).encode())
     return manifest
 
 

@@ -1,6 +1,7 @@
 """Each operator on awkward rows against a plain computation; empty tables, nulls, repeats, ties and clashing columns."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -419,6 +420,47 @@ def test_warc(spark):
     assert warc.archived(df.limit(0)).count() == 0
 
 
+def test_warc_files_are_equal_however_they_are_written(spark, tmp_path):
+    """Equal bytes over reruns, partitions, order and session settings; very long and empty texts, ids of all kinds, clashing columns."""
+    ship(spark)
+    ids = [None, None, -(1 << 63), -5, 0, 0, 0, 1, (1 << 63) - 1, *range(10, 400)] + [77] * 300
+    rows = [(k, f"u{i % 3}", None if i % 50 == 0 else f"text {i % 290} " * (1 + 20_000 * (i == 30)), i, 1) for i, k in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest int, range int")
+    found = []
+    for n, (parts, settings) in enumerate(((1, {}), (7, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "13"}), (3, {"spark.sql.shuffle.partitions": "2"}))):
+        before = {k: spark.conf.get(k) for k in settings}
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        folder = f"{tmp_path}/{n}"
+        manifest = warc.write_archive(df.orderBy("url").repartition(parts), folder, least=5, roll_bytes=2_000, ranges=16, range_least=4_000)
+        found.append(sorted(map(tuple, manifest.collect())))
+        back = warc.read_archive(spark, folder).collect()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        assert Counter((r.page_id, r.payload_digest) for r in back) == Counter((k, hashlib.sha1((t or "").encode()).hexdigest()) for k, _, t, *_ in rows)
+    assert found[0] == found[1] == found[2] and len(found[0]) > 10
+    names = [x[0] for x in found[0]]
+    assert len(set(names)) == len(names)
+    raw = {n: warc.get(f"{tmp_path}/0/{n}") for n in names}
+    assert all(hashlib.sha256(raw[n]).hexdigest() == h for n, _, _, h in found[0])
+    records = [re.search(rb"WARC-Record-ID: (\S+)", x)[1] for n in names for x in warc.members(*warc.opened(f"{tmp_path}/0/{n}"))]
+    assert len(set(records)) == len(records) == len(rows)
+
+
+def test_ranges_follow_the_data(spark):
+    """No range but those of one heavy id and digest holds much more than its share, however ids lie."""
+    ship(spark)
+    rng = np.random.default_rng(3)
+    for ids in (np.arange(5_000), rng.integers(-(1 << 62), 1 << 62, 5_000), np.r_[np.arange(2_500), (1 << 60) + np.arange(2_500)], np.r_[np.full(2_000, 9), np.arange(3_000)]):
+        df = spark.createDataFrame([(int(k), 488) for k in ids], "page_id long, bytes long")
+        starts = warc.range_starts(df, ranges=20, least=1)
+        assert starts == sorted(set(starts)) and 20 <= len(starts) <= 45
+        which = warc.range_of(starts)(ids.astype(np.int64), rng.integers(0, 1 << 32, len(ids)))
+        assert np.bincount(which).max() <= 330
+        order = np.lexsort((which, ids))
+        assert (np.diff(which[order]) >= 0).all()
+
+
 def test_toxicity(spark):
     ship(spark)
     rows = [(i, ("you are an idiot and a fool " if i % 3 == 0 else "a nice day in town ") + f"n{i}", "s") for i in range(120)] + [(500, "such an idoit", "s"), (501, None, None), (502, "", "")]
