@@ -206,23 +206,56 @@ def test_long_runs_go_through_finer_keys(spark, monkeypatch):
     assert all(found.get(i, i) == root(i) for i in range(100))
 
 
-def test_packing(docs, none):
+def packed_well(out, rows, length=2048):
+    """Every id of every document in exactly one piece, with its checksum, and sequences gapless and unpadded."""
     e = tokens.Encoder()
-    want = Counter((i, len(e.encode(t)) + 1) for i, t, _ in ROWS)
-    out = packing.pack(docs).collect()
-    assert sum(r.length for r in out) == sum(n * k for (_, n), k in want.items())
-    for s in {r.sequence_id for r in out}:
+    ids = Counter()
+    for doc_id, text in rows:
+        ids[doc_id, np.append(e.encode(text), 1).astype("<u4").tobytes()] += 1
+    sequences, by_doc = {}, {}
+    for r in out:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        by_doc.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length, r.ids_crc32))
+    for parts in sequences.values():
         at = 0
-        for r in sorted((r for r in out if r.sequence_id == s), key=lambda r: r.offset):
-            assert r.offset == at
-            at += r.length
-        assert at == 2048 or at & (at - 1) == 0
-    one = next(r for r in out if r.doc_id == 8)
-    ids = np.append(e.encode("one"), 1).astype("<u4")
-    assert one.ids_crc32 == zlib.crc32(ids[one.start : one.start + one.length].tobytes())
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at == length or at < length and at & (at - 1) == 0
+    for (doc_id, raw), times in ids.items():
+        n = len(raw) // 4
+        alike = [(x, k) for (d, x), k in ids.items() if d == doc_id and len(x) == len(raw)]
+        assert sum(p[1] for p in by_doc[doc_id, n]) == n * sum(k for _, k in alike)
+        if len(alike) == 1:
+            covered = Counter()
+            for start, size, check in by_doc[doc_id, n]:
+                assert check == zlib.crc32(raw[4 * start : 4 * (start + size)])
+                covered.update(range(start, start + size))
+            assert set(covered) == set(range(n)) and set(covered.values()) == {times}
+    assert len(out) >= sum(ids.values()) and {d for d, _ in by_doc} == {d for d, _ in ids}
+
+
+def test_packing(docs, none):
+    packed_well(packing.pack(docs).collect(), [(i, t) for i, t, _ in ROWS])
+    packed_well(packing.pack(docs, rows_per_bucket=2).collect(), [(i, t) for i, t, _ in ROWS])
     assert packing.pack(none).count() == 0
 
 
+def test_packing_in_rounds(spark):
+    """Many buckets hand on what they leave open; of many documents few are cut anew, and rests that fit no other are packed too."""
+    ship(spark)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["word"] * int(n))) for i, n in enumerate(rng.integers(1, 200, 1_500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = packing.pack(df, length=128, rows_per_bucket=150).collect()
+    packed_well(out, rows, 128)
+    pieces = Counter(r.doc_id for r in out)
+    cut = sum(pieces[i] > -(-len(t.split()) // 128) + 1 for i, t in rows)
+    assert cut < 40
+    alike = [(i, " ".join(["word"] * 69)) for i in range(300)]
+    packed_well(packing.pack(spark.createDataFrame(alike, "doc_id long, text string"), length=128, rows_per_bucket=40).collect(), alike, 128)
+
+
 def test_packing_holds_a_bounded_number_of_equal_rows(spark):
     ship(spark)
     same = spark.createDataFrame([(None, "the same few words")] * 60 + [(None, f"text {i}") for i in range(40)], "doc_id long, text string")
