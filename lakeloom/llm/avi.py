@@ -8,6 +8,8 @@ the RIFF index names, and decodes any other table bit by bit.
 Shots: frames whose histogram differs from the one before by more than twice the mean of the differences around, plus a
 floor, begin a shot; clips are timed rows.
 
+A media column is stored as a table in the shared folder, and everything is read back from there.
+
 Defined results: a null text is empty; a text of n bytes is padded with bytes 255 to a positive multiple of 576; equal
 texts give equal values; equal or null doc_ids keep a row each; an empty table gives no rows; other columns are left alone.
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, written
 
 WIDE = HIGH = 24
 FRAME = WIDE * HIGH
@@ -220,6 +222,12 @@ def encoded(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, media binary")
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """encoded(docs) as a table: what is read of it comes from its files."""
+    # frames repeat their headers, and their nine-bit codes hide repeats from quick compressors
+    return written(encoded(docs), "media", **{"parquet.compression.codec.zstd.level": 6, "parquet.block.size": 32 << 20})
+
+
 def clips(media: DataFrame) -> DataFrame:
     """doc_id, clip, start_ms, end_ms, frames of each shot of a media column."""
 
@@ -236,23 +244,29 @@ def clips(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip long, start_ms long, end_ms long, frames long")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shots long"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shots long, clips array<struct<start_ms: bigint, end_ms: bigint>>"
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What a media column holds, read back from its bytes."""
+    """What a media column holds, read back from its bytes, and its clips in order."""
+    kind = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
+    names = [x.split()[0] for x in DIGEST.split(", clips")[0].split(", ")] + ["clips"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            rows = []
+            rows, edges, counts = [], [], [0]
             for doc_id, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n_bytes, frames, _ = read_media(raw)
+                n_bytes, frames, ms = read_media(raw)
                 payload = frames.tobytes()
                 first, apart = cuts(frames)
                 feature = f"{len(frames)}f-{len(first)}s-{zlib.crc32(first.astype('<i8').tobytes()):08x}-{zlib.crc32(apart.astype('<i8').tobytes()):08x}"
                 rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, len(first)))
+                edges.append(np.stack([first, np.r_[first[1:], len(frames)]]) * ms)
+                counts.append(counts[-1] + len(first))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            names = [x.split()[0] for x in DIGEST.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            start, end = np.concatenate(edges, axis=1)
+            spans = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], fields=list(kind.value_type))
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(counts, pa.int32()), spans)], names=names)
 
     return media.select("doc_id", "media").mapInArrow(run, DIGEST)

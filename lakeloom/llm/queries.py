@@ -29,7 +29,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return avi.digests(avi.encoded(table(spark, sf_dir, "documents")))
+    return avi.digests(avi.stored(table(spark, sf_dir, "documents")))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,15 +280,52 @@ def test_tokens(docs, none):
     assert tokens.token_counts(none).count() == 0
 
 
+def plainly_read(media):
+    """Samples of each frame of an AVI file: its movi list walked chunk by chunk, every frame decoded bit by bit."""
+    at, frames = media.index(b"movi") + 4, []
+    while media[at : at + 4] == b"00dc":
+        size = int.from_bytes(media[at + 4 : at + 8], "little")
+        frames.append(avi.decoded(media[at + 8 : at + 8 + size]).tobytes())
+        at += 8 + size + size % 2
+    return frames
+
+
+def plain_feature(frames):
+    bins = [Counter(b >> 4 for b in f) for f in frames]
+    apart = [sum(abs(x[k] - y[k]) for k in range(16)) for x, y in zip(bins, bins[1:], strict=False)]
+    first = [0]
+    for i, x in enumerate(apart):
+        near = [y for j, y in enumerate(apart) if j != i and abs(i - j) <= 4]
+        if x * len(near) > 2 * sum(near) + 96 * len(near):
+            first.append(i + 1)
+    packed = lambda xs: zlib.crc32(b"".join(x.to_bytes(8, "little") for x in xs))
+    return f"{len(frames)}f-{len(first)}s-{packed(first):08x}-{packed(apart):08x}", first
+
+
 def test_media(docs, none):
-    for r in avi.digests(avi.encoded(docs)).filter("doc_id <> 11").collect():
-        raw = (dict((i, t) for i, t, _ in ROWS)[r.doc_id] or "").encode()
-        padded = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
-    assert avi.digests(avi.encoded(none)).count() == 0
+    """Every column from the stored bytes, against a plain reader of them; repeated ids too."""
+    media = avi.stored(docs)
+    got = Counter()
+    for r in avi.digests(media).collect():
+        got[(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature, r.shots, tuple((c.start_ms, c.end_ms) for c in r.clips))] += 1
+    want, held = Counter(), Counter()
+    for r in media.collect():
+        held[r.doc_id, bytes(r.media)] += 1
+    for (doc_id, raw), times in held.items():
+        frames = plainly_read(raw)
+        payload = b"".join(frames)
+        text = next(t for i, t, _ in ROWS if i == doc_id and payload.startswith((t or "").encode()) and set(payload[len((t or "").encode()) :]) <= {255})
+        own = (text or "").encode()
+        assert len(payload) == max(1, -(-len(own) // 576)) * 576
+        feature, first = plain_feature(frames)
+        clips = tuple((a * 40, b * 40) for a, b in zip(first, [*first[1:], len(frames)], strict=True))
+        want[(doc_id, len(own), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, len(first), clips)] += times
+    assert got == want and Counter(i for i, *_ in want.elements()) == Counter(i for i, *_ in ROWS)
+    assert avi.digests(avi.stored(none)).count() == 0
     calm = np.full((6, 576), 20, np.uint8)
     assert avi.cuts(np.concatenate([calm, calm + 150]))[0].tolist() == [0, 6]
-    assert avi.clips(avi.encoded(docs)).count() >= len(ROWS)
+    rows = avi.clips(media).collect()
+    assert sum(r.frames for r in rows) == sum(k * n for (*_, n), k in Counter((*x, x[2] // 576) for x in want.elements()).items())
 
 
 def test_language_model(docs, none):
