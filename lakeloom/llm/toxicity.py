@@ -1,7 +1,8 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, and the context of what they find.
 
 The lexicon is learned from labelled rows: words and word stems that tell toxic texts from others, chosen one after another
-by how many toxic texts they explain that earlier ones don't. Words and stems form a trie. A word is walked through the
+by how many toxic texts they explain that earlier ones don't; clean texts speak against a term only where they don't quote
+it. Words and stems form a trie. A word is walked through the
 intersection of the trie with the Levenshtein automata of its edges: a state is the set of (trie node, errors) that can
 be reached, made when first needed; long terms allow one error (longer ones two), never in the first letter. Words of
 clean training texts that lie that near are kept as exceptions; terms with more of those than of misspellings in toxic
@@ -11,8 +12,8 @@ Each match is seen in a window of words: quotation marks and reporting words spe
 abuse. Counts of the kinds of matches go into a logistic model, fitted to the same sample under a prior that stands where
 the sample says nothing.
 
-SAMPLE_TOXIC and SAMPLE_CLEAN bound the labelled rows that the fit uses (those of the smallest hashes); scoring reads every
-text whole.
+SAMPLE_TOXIC and SAMPLE_CLEAN bound the labelled rows that the fit uses (those of the smallest hashes), and with them the
+terms and exceptions; scoring reads every text whole.
 
 Defined results: a null or empty text scores as one without matches; labels that are null, or whose doc_id is null or
 unknown, are left out; a doc_id labelled more than once is toxic if one label says so; without toxic (or clean) training
@@ -36,12 +37,12 @@ from pyspark.sql import functions as F
 from .common import crc32_of, pieces, written
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 6_000
-TERMS = 512
 CLEAN_WEIGHT = 5
 THRESHOLD = 0.3
 #: The share of a word's toxic texts that another term may also explain.
 RIDES = 0.8
-STEM = range(3, 9)
+#: Letters of a stem: shorter ones are parts of too many words.
+STEM = range(5, 9)
 WINDOW = 6
 #: Words whose matches a worker remembers.
 REMEMBERED = 200_000
@@ -185,6 +186,14 @@ class Automaton:
         return best
 
 
+def is_quoted(tokens: list[str], i: int) -> bool:
+    """Whether the window of a token speaks for a quotation: marks before and after it, or a word of reporting."""
+    t, before, after = tokens[i], tokens[max(0, i - WINDOW) : i], tokens[i : i + WINDOW + 1]
+    opened = t[0] in QUOTES or any(w[:1] in QUOTES for w in before)
+    closed = t[-1] in QUOTES or any(w[-1:] in QUOTES or w[-2:-1] in QUOTES for w in after)
+    return opened and closed or any(EDGE.sub("", w) in REPORTING for w in (*before, *after))
+
+
 def features(text: str | None, automaton: Automaton, exceptions: frozenset[str]) -> list[float]:
     """Counts of exact, near, quoted and addressed matches, as log2(1 + n), after a one for the bias."""
     tokens = (text or "").lower().split()
@@ -196,19 +205,18 @@ def features(text: str | None, automaton: Automaton, exceptions: frozenset[str])
         if t not in hits:
             continue
         exact, near = exact + (hits[t][0] == 0), near + (hits[t][0] > 0)
-        around = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
-        bare = [EDGE.sub("", w) for w in around]
-        opened = t[0] in QUOTES or any(w[:1] in QUOTES for w in tokens[max(0, i - WINDOW) : i])
-        closed = t[-1] in QUOTES or any(w[-1:] in QUOTES or w[-2:-1] in QUOTES for w in tokens[i : i + WINDOW + 1])
-        quoted += (opened and closed) or any(w in REPORTING for w in bare)
-        addressed += any(w in SECOND_PERSON for w in bare)
+        quoted += is_quoted(tokens, i)
+        addressed += any(EDGE.sub("", w) in SECOND_PERSON for w in tokens[max(0, i - WINDOW) : i + WINDOW + 1])
     return [1.0, *(math.log2(1 + n) for n in (exact, near, quoted, addressed))]
 
 
-def candidates(text: str | None) -> set[str]:
-    """Words of a text, and their stems (with *)."""
+def candidates(text: str | None, unquoted: bool = False) -> set[str]:
+    """Words of a text, and their stems (with *); only of words outside quotations, if so asked."""
     out = set()
-    for token in set((text or "").lower().split()):
+    tokens = (text or "").lower().split()
+    if unquoted and (not QUOTES.isdisjoint(text or "") or any(EDGE.sub("", t) in REPORTING for t in set(tokens))):
+        tokens = [t for i, t in enumerate(tokens) if not is_quoted(tokens, i)]
+    for token in set(tokens):
         word = EDGE.sub("", token)
         if 3 <= len(word) <= 40 and word.isalpha():
             out.add(word)
@@ -217,7 +225,7 @@ def candidates(text: str | None) -> set[str]:
 
 
 def counted(rows: DataFrame, wanted=None) -> DataFrame:
-    """term, n: in how many of the texts each candidate term is. wanted: a broadcast set of terms."""
+    """term, n: in how many of the texts each candidate term is. wanted: a broadcast set of terms, to be met outside quotations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -232,7 +240,7 @@ def counted(rows: DataFrame, wanted=None) -> DataFrame:
         only = wanted.value if wanted is not None else None
         for batch in pieces(batches, "text"):
             for text in batch.column("text").to_pylist():
-                counts.update(candidates(text) if only is None else candidates(text) & only)
+                counts.update(candidates(text) if only is None else candidates(text, True) & only)
             if len(counts) > 400_000:
                 yield from flush()
         yield from flush()
@@ -278,7 +286,7 @@ def chosen_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int,
     # Gains only fall, so the first whose gain is still right is the best.
     heap = [rank(k) for k in range(len(counts)) if len(texts[k]) >= least and worth[k] > 0 and sure[k]]
     heapq.heapify(heap)
-    while heap and open_ and len(out) < TERMS:
+    while heap and open_:
         best = heapq.heappop(heap)
         k = best[-1]
         if len(texts[k] & open_) < least:
@@ -300,7 +308,7 @@ def chosen_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int,
         if all(len(mine & other) <= RIDES * len(mine) for other in covers):
             alone.append(k)
             covers.append(mine)
-    return [counts[k][0] for k in out + alone + words][:TERMS]
+    return [counts[k][0] for k in out + alone + words]
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Lexicon:

@@ -546,6 +546,54 @@ def test_toxicity(spark):
     assert {r.doc_id for r in toxicity.without_toxic(df, lexicon).collect()} >= {i for i in range(120) if i % 3}
 
 
+def test_context_tells_quotation_from_abuse(spark):
+    """Quoted and reported abuse labelled clean gives the context its weight; held-out rows are told apart by it alone."""
+    ship(spark)
+    town = "the town has a market and a river and people walk along it in the evening"
+    abuse = [f"{town} n{{}} along {w} the evening and a river" for w in ("idiot", "moron", "scumbag")]
+    quoted = [f'{town} n{{}} along said "{w}" the evening and a river' for w in ("idiot", "moron", "scumbag")]
+    rows, labels = [], []
+    for i in range(600):
+        kind = i % 4
+        rows.append((i, (abuse[i % 3] if kind == 0 else quoted[i % 3] if kind == 1 and i % 3 else f"{town} n{{}}").format(i)))
+        labels.append((i, int(kind == 0)))
+    held = [(10_000 + i, (abuse if i % 2 else quoted)[i % 3].format(i)) for i in range(30)]
+    df = spark.createDataFrame(rows + held, "doc_id long, text string")
+    lexicon = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert lexicon.weights[3] < toxicity.PRIOR[3] - 0.5
+    out = {r.doc_id: r for r in toxicity.scored(df, lexicon).collect()}
+    assert all(out[10_000 + i].predicted == i % 2 for i in range(30))
+    same = toxicity.Lexicon(lexicon.terms, lexicon.exceptions, [*lexicon.weights[:3], 0.0, 0.0])
+    blind = {r.doc_id: r for r in toxicity.scored(df, same).collect()}
+    assert any(blind[10_000 + i].predicted != i % 2 for i in range(30))
+
+
+def test_misspelled_terms_are_met(spark):
+    """Levenshtein distances by a plain computation: what the automaton accepts is what lies near a term, first letters equal."""
+    import itertools
+    import random
+
+    def near(a, b):
+        d = {(i, j): i + j if not i or not j else 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    random.seed(6)
+    terms = ["idiot", "worthless", "pathetic", "scum"]
+    automaton = toxicity.Automaton(terms)
+    for _ in range(3_000):
+        word = list(random.choice(terms))
+        for _ in range(random.randint(0, 3)):
+            k = random.randrange(1, len(word) + 1)
+            word[k : k + random.randint(0, 1)] = random.choices("abcdeiost", k=random.randint(0, 1))
+        word = "".join(word)
+        want = min(((near(t, word), t) for t in terms if near(t, word) <= toxicity.errors_allowed(len(t), False) and t[0] == word[0]), default=None)
+        assert automaton.match(word) == want
+
+
 def test_chosen_terms_keep_what_stands_alone_and_leave_what_rides_along():
     """Terms: both words of mixed texts, not the word that only copies of one text carry, nor one too rare to tell."""
     # places: 0 main, 1 other (seen with and without main), 2 rider (always with main), 3 rare
