@@ -40,6 +40,16 @@ def missing(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [n for n in names if n.lower() not in have]
 
 
+def distinct_names(df: DataFrame) -> DataFrame:
+    """Columns whose name came before get a number (P13), so that each can be named."""
+    seen: dict[str, int] = {}
+    names = []
+    for c in df.columns:
+        seen[c.lower()] = seen.get(c.lower(), 0) + 1
+        names.append(c if seen[c.lower()] == 1 else f"{c}_{seen[c.lower()]}")
+    return df.toDF(*names)
+
+
 def packed(df: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
     """Columns as one struct (P10)."""
     return df.withColumn(name, F.struct(*fields)).drop(*fields)

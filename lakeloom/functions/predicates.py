@@ -34,8 +34,6 @@ def on_day(column: Column, day: Column) -> Column:
     return F.to_date(column) == F.to_date(day)
 
 
-def qualified(df: DataFrame, **columns_and_test: Column) -> DataFrame:
-    """QUALIFY: a filter on a window column, which is named test."""
-    test = columns_and_test.pop("test")
-    names = df.columns
-    return df.withColumns(columns_and_test).filter(test).select(*names, *columns_and_test)
+def age_days(column: Column, day: Column | None = None) -> Column:
+    """Days from a column's day to `day`, today by the session's clock if not given (X11)."""
+    return F.datediff(day if day is not None else F.current_date(), F.to_date(column))

@@ -30,10 +30,14 @@ def weighted_score(column: Column, weights: Mapping[str, int]) -> Column:
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], value: Column, name: str, digits: int = 2) -> DataFrame:
-    """Sums by key and their percentage of all, without a trip to the driver (A13). The window sees one row a key."""
-    sums = df.groupBy(*keys).agg(F.sum(value).alias(name))
-    whole = F.sum(name).over(Window.partitionBy())
-    return sums.withColumn(f"{name}_pct", ratio(F.col(name), whole, 100, digits))
+    """Sums by key and their percentage of all, without a trip to the driver."""
+    return with_share(df.groupBy(*keys).agg(F.sum(value).alias(name)), name, f"{name}_pct", digits)
+
+
+def with_share(df: DataFrame, value: str, name: str, digits: int = 2) -> DataFrame:
+    """df with each value's percentage of the sum of all, which is one row and goes to all of them."""
+    whole = df.agg(F.sum(value).alias("_all")).withColumn("_one", F.lit(1))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").withColumn(name, ratio(F.col(value), F.col("_all"), 100, digits)).drop("_one", "_all")
 
 
 def pivot_sum(df: DataFrame, keys: Sequence[str], column: str, values: Sequence[str], value: Column, fill: float | None = None) -> DataFrame:
@@ -63,5 +67,7 @@ def deduplicated(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFram
 
 def word_count(df: DataFrame, text: str = "text") -> DataFrame:
     """word, n over white-space separated words in lower case."""
-    words = df.select(F.explode(F.split(F.lower(text), r"\s+")).alias("word")).filter("word <> ''")
+    # one character to split at needs no regular expression
+    spaced = F.translate(F.lower(text), "\t\n\x0b\f\r", "     ")
+    words = df.select(F.explode(F.split(spaced, " ")).alias("word")).filter("word <> ''")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))

@@ -59,8 +59,10 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     """low <= value <= high (J14) as an equality join on bins of a width, so no nested loop; null bounds never match.
 
     A range is copied to each bin it touches, a point is in one, so a pair is met once. width should be about the
-    common length of the ranges.
+    common length of the ranges. Points may be kept without a range (left); the copies of ranges can't.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("ranges are copied to bins, which makes sense for inner and left joins only")
     spans = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     dots = points.withColumn("_bin", F.floor(F.col(value) / width))
     on = (dots["_bin"] == spans["_bin"]) & (F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))
@@ -81,6 +83,13 @@ def star_join(fact: DataFrame, dimensions: Sequence[tuple[DataFrame, str]], stra
     return reduce(lambda df, d: join(df, d[0], d[1], how, strategy), dimensions, fact)
 
 
-def co_partitioned_join(left: DataFrame, right: DataFrame, keys: Sequence[str], partitions: int, how: str = "inner") -> DataFrame:
-    """Both sides dealt by the keys to as many partitions."""
-    return left.repartition(partitions, *keys).join(right.repartition(partitions, *keys), list(keys), how)
+def co_partitioned_join(left: DataFrame, right: DataFrame, keys: Sequence[str], partitions: int | None = None, how: str = "inner") -> DataFrame:
+    """Both sides dealt by the keys alike (J26), to `partitions` or as many as the session says."""
+    number = [partitions] if partitions else []
+    return left.repartition(*number, *keys).join(right.repartition(*number, *keys), list(keys), how)
+
+
+def tidy_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", suffix: str = "_right") -> DataFrame:
+    """Each name once (J33): keys as USING has them, right's other columns with a suffix where left has their name."""
+    have = {c.lower() for c in left.columns} - {k.lower() for k in keys}
+    return left.join(right.withColumnsRenamed({c: f"{c}{suffix}" for c in right.columns if c.lower() in have}), list(keys), how)

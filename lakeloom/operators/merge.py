@@ -26,11 +26,13 @@ def append_new(target: DataFrame, batch: DataFrame, keys: Sequence[str], *order:
     return target.unionByName(new_rows(target, batch, keys, *order, defaults=defaults))
 
 
-def scd1(target: DataFrame, batch: DataFrame, key: str, keep: Sequence[str], stamp: str, now: Column) -> DataFrame:
+def scd1(target: DataFrame, batch: DataFrame, key: str, keep: Sequence[str], stamp: str, now: Column, *order: Column) -> DataFrame:
     """Type 1 (M3): new values replace old ones, columns in keep stay as they were first, and change says what happened.
 
-    One full outer join. The clock is the caller's.
+    One full outer join. The clock is the caller's. Of several rows of a batch for one key the first by `order` counts
+    (without it, the largest by all columns), so a key stays one row.
     """
+    batch = deduplicated(batch, [key], *(order or [F.desc(c) for c in batch.columns]))
     old, new = target.alias("o"), batch.alias("n")
     joined = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
     there, here = F.col(f"o.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
@@ -55,10 +57,13 @@ def change_counts(merged: DataFrame) -> DataFrame:
 
 
 def classified(history: DataFrame, changes: DataFrame, key: str, attributes: Sequence[str], stamp: str) -> DataFrame:
-    """Changes with what they are against the current version (M5, M6): NEW, OUTDATED, NO_CHANGE or VALID."""
+    """Changes with what they are against the current version (M5, M6): NEW, OUTDATED, NO_CHANGE or VALID, asked in this order.
+
+    A change from before the current version's start is OUTDATED even if it says the same; one at its very start isn't.
+    """
     current = history.filter("is_current").alias("h")
     joined = changes.distinct().alias("c").join(current, F.col(f"c.{key}") == F.col(f"h.{key}"), "left")
-    what = F.when(F.col(f"h.{key}").isNull(), "NEW").when(same("c", "h", attributes), "NO_CHANGE").when(F.col(f"c.{stamp}") <= F.col("h.effective_from"), "OUTDATED").otherwise("VALID")
+    what = F.when(F.col(f"h.{key}").isNull(), "NEW").when(F.col(f"c.{stamp}") < F.col("h.effective_from"), "OUTDATED").when(same("c", "h", attributes), "NO_CHANGE").otherwise("VALID")
     return joined.select("c.*", what.alias("decision"))
 
 
@@ -80,8 +85,8 @@ def scd2(history: DataFrame, changes: DataFrame, key: str, attributes: Sequence[
     by_key = Window.partitionBy(key)
     order = by_key.orderBy("effective_from", "_source", *attributes)
     rows = known.unionByName(more)
-    # of several changes at one instant the last stays; a known version stands before them
-    rows = rows.withColumn("_last", F.row_number().over(Window.partitionBy(key, "effective_from").orderBy(F.desc("_source"), *(F.desc(a) for a in attributes)))).filter("_last = 1 or _source = 0").drop("_last")
+    # of several changes at one instant the last stays; a known version stands before them. One order for all windows: one shuffle and sort.
+    rows = rows.withColumn("_next", F.lead("effective_from").over(order)).filter("_source = 0 or _next is null or _next <> effective_from").drop("_next")
     state = F.struct(*attributes)
     rows = rows.withColumn("_before", F.lag(state).over(order)).filter((F.col("_source") == 0) | F.col("_before").isNull() | ~state.eqNullSafe(F.col("_before"))).drop("_before")
     until = F.lead("effective_from").over(order)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import quoted, ratio
 from ..functions.predicates import null_count
+from .aggregates import with_share
+from .windows import quantile
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -54,10 +56,13 @@ def filled_where(df: DataFrame, column: str, *branches: tuple[Column, object]) -
 
 
 def imputed(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Nulls as the column's mean or median (Q9): one row of statistics, joined on and never collected."""
-    make = {"mean": F.avg, "median": F.median, "mode": F.mode}
-    stats = df.agg(*(make[how](c).alias(f"_s_{c}") for c, how in columns.items()))
-    one = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
+    """Nulls as the column's mean, median or mode (Q9): one row of statistics, joined on. No task holds a column's values for its median."""
+    make = {"mean": F.avg, "mode": F.mode}
+    stats = df.agg(F.count(F.lit(1)).alias("_rows"), *(make[how](c).alias(f"_s_{c}") for c, how in columns.items() if how != "median")).withColumn("_one", F.lit(1))
+    for c, how in columns.items():
+        if how == "median":
+            stats = stats.join(F.broadcast(quantile(df, c).select(F.col("q").alias(f"_s_{c}"), F.lit(1).alias("_one"))), "_one")
+    one = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats.drop("_rows")), "_one")
     return one.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_s_{c}").cast("double")) for c in columns}).drop("_one", *(f"_s_{c}" for c in columns))
 
 
@@ -68,9 +73,13 @@ def imputed_by_model(df: DataFrame, columns: Sequence[str], strategy: str = "mea
     return Imputer(inputCols=list(columns), outputCols=list(columns), strategy=strategy).fit(df).transform(df)
 
 
+def null_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row, whether the columns hold no null (Q12)."""
+    return df.agg((F.coalesce(F.max(null_count(columns)), F.lit(0)) == 0).alias("no_nulls"))
+
+
 def has_no_nulls(df: DataFrame, columns: Sequence[str]) -> bool:
-    """Whether the columns hold no null (Q12): one pass, one row."""
-    return df.agg(F.max(null_count(columns))).first()[0] in (0, None)
+    return null_check(df, columns).first()[0]
 
 
 def null_impact(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -108,8 +117,7 @@ def conformed_union(target: DataFrame, *others: DataFrame) -> DataFrame:
 
 def status_summary(df: DataFrame, status: str) -> DataFrame:
     """Rows by status with their percentage (Q18)."""
-    out = df.groupBy(status).agg(F.count(F.lit(1)).alias("rows"))
-    return out.withColumn("pct", ratio(F.col("rows"), F.sum("rows").over(Window.partitionBy()), 100, 2))
+    return with_share(df.groupBy(status).agg(F.count(F.lit(1)).alias("rows")), "rows", "pct")
 
 
 def blank_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

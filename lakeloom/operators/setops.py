@@ -25,6 +25,17 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 
 
+def intersection_by_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct rows of a whose keys b has (O7); unlike INTERSECT, null meets nothing."""
+    return a.join(b.select(*keys), list(keys), "left_semi").distinct()
+
+
+def first_row(df: DataFrame, *order: Column) -> tuple | None:
+    """The first row by an order (O3), or None; each task keeps one."""
+    row = df.orderBy(*order).first() if order else df.first()
+    return None if row is None else tuple(row)
+
+
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """EXCEPT: distinct, null equal to null."""
     return a.subtract(b)

@@ -23,18 +23,68 @@ def ranks(df: DataFrame, by: Sequence[str], *order: Column, tiebreak: Sequence[C
     return df.withColumns({"row_number": F.row_number().over(full), "rank": F.rank().over(over), "dense_rank": F.dense_rank().over(over)})
 
 
-def global_rank(df: DataFrame, order: Column, name: str = "position", parts: int = 0) -> DataFrame:
-    """dense_rank over all rows (W5) without one task for all of them: ranks of the distinct values, joined back.
+def banded(df: DataFrame, name: str, *order: str, bands: int = 0) -> DataFrame:
+    """df with the number of a band of rows in ascending order of columns; bands follow one another.
 
-    Distinct values are range-partitioned and sorted; a partition's offset is the number of values before it.
+    Their edges are values of a few dozen rows a band (those of the smallest hashes), which come to the driver once and
+    stand in the plan as literals, so every evaluation cuts alike.
     """
-    value = df.select(order.alias("_v")).distinct()
-    value = (value.repartitionByRange(parts, F.col("_v").asc()) if parts else value.repartitionByRange(F.col("_v").asc())).withColumn("_p", F.spark_partition_id())
-    sizes = value.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("_v"))
-    placed = value.withColumn("_r", place).join(before, "_p").select("_v", (F.col("_r") + F.col("_before")).alias(name))
-    return df.withColumn("_w", order).join(placed, F.col("_w").eqNullSafe(F.col("_v"))).drop("_v", "_w")
+    bands = bands or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order)))
+    some = sorted((tuple((x is not None, x) for x in r) for r in keys.orderBy(F.xxhash64(*keys.columns)).limit(bands * 32).collect()), key=lambda r: tuple((there, x if there else 0) for there, x in r))
+    edges = [some[len(some) * i // bands] for i in range(1, bands)] if some else []
+    point = F.struct(*(c.alias(f"f{j}") for j, c in enumerate(y for k in order for y in (F.col(k).isNotNull(), F.col(k)))))
+    if not edges:
+        return df.withColumn(name, F.lit(0))
+    kinds = [df.schema[k].dataType for k in order]
+    edge = [F.struct(*(c.alias(f"f{j}") for j, c in enumerate(y for (there, x), t in zip(e, kinds, strict=True) for y in (F.lit(there), F.lit(x).cast(t))))) for e in dict.fromkeys(edges)]
+    return df.withColumn(name, F.size(F.filter(F.array(*edge), lambda e: e <= point)))
+
+
+def numbered(df: DataFrame, name: str, *order: str, bands: int = 0) -> DataFrame:
+    """df with the number of each row, from 1, in ascending order of columns (nulls first), without one task for all rows.
+
+    Rows are numbered inside bands; the counts of the bands before, a row for each, are added.
+    """
+    rows = banded(df, "_band", *order, bands=bands)
+    counts = rows.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_band").orderBy(*order)))
+    # a row for each band: their number is the caller's or the session's
+    return inside.join(F.broadcast(counts.select("_band", earlier.alias("_before"))), "_band").withColumn(name, F.col("_i") + F.col("_before")).drop("_band", "_i", "_before")
+
+
+def global_rank(df: DataFrame, order: Column, name: str = "position", bands: int = 0) -> DataFrame:
+    """dense_rank over all rows (W5) without one task for all of them: numbers of the distinct values, joined back."""
+    values = numbered(df.select(order.alias("_v")).distinct(), name, "_v", bands=bands)
+    return df.withColumn("_w", order).join(values, F.col("_w").eqNullSafe(F.col("_v"))).drop("_v", "_w")
+
+
+def quantile(df: DataFrame, column: str, share: float = 0.5, bands: int = 0) -> DataFrame:
+    """The exact quantile of a column, as one row `q` (null for no values), between two values where it falls between them.
+
+    Values are counted first, then banded; only the band that holds the place is put in order.
+    """
+    counts = banded(df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "_band", "_v", bands=bands)
+    # as many rows as bands come to the driver
+    sums = sorted(tuple(r) for r in counts.groupBy("_band").agg(F.sum("_n")).collect())
+    total = sum(n for _, n in sums)
+    place = share * (total - 1)
+    low, high = int(place), min(int(place) + 1, max(total - 1, 0))
+    before, found = 0, {}
+    for band, n in sums:
+        for k in (low, high):
+            if before <= k < before + n:
+                found[k] = (band, before)
+        before += n
+    if not total:
+        return df.agg(F.max(F.lit(None).cast("double")).alias("q"))
+    own = counts.filter(F.col("_band").isin(sorted({b for b, _ in found.values()})))
+    until = F.sum("_n").over(Window.partitionBy("_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    start = F.create_map(*(F.lit(x) for b, s in sorted(set(found.values())) for x in (b, s)))
+    own = own.withColumn("_until", until + start[F.col("_band")])
+    at = lambda k: F.min(F.when(F.col("_until") > k, F.col("_v"))).cast("double")
+    return own.agg((at(low) + (at(high) - at(low)) * (place - low)).alias("q"))
 
 
 def tie_stats(df: DataFrame, by: Sequence[str], value: str, tiebreak: str) -> DataFrame:

@@ -195,12 +195,16 @@ def on_day(s, d):
 # --- joins -------------------------------------------------------------------
 
 
+SOME_CUSTOMER = "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN -o_orderkey ELSE o_custkey END"
+
+
 def customer_orders(s, d):
-    return table(s, d, "customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_name"), table(s, d, "orders").filter("o_custkey % 2 = 0").select("o_orderkey", "o_custkey", "o_totalprice")
+    """All customers, and all orders, every fifth of which names no customer and every seventh an unknown one."""
+    return table(s, d, "customer").select("c_custkey", "c_name"), table(s, d, "orders").selectExpr("o_orderkey", f"{SOME_CUSTOMER} AS o_custkey", "o_totalprice")
 
 
 def join_sql(how: str) -> str:
-    return f"SELECT c_custkey, c_name, o_orderkey, o_custkey, o_totalprice FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0) {how} JOIN (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey % 2 = 0) ON c_custkey = o_custkey"
+    return f"SELECT c_custkey, c_name, o_orderkey, o_custkey, o_totalprice FROM customer {how} JOIN (SELECT o_orderkey, {SOME_CUSTOMER} AS o_custkey, o_totalprice FROM orders) ON c_custkey = o_custkey"
 
 
 def join_query(how: str) -> Callable:
@@ -255,24 +259,25 @@ def join_residual(s, d):
 @query("SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 100000")
 def join_co_partitioned(s, d):
     o, l = table(s, d, "orders").filter("o_totalprice > 100000").select(F.col("o_orderkey")), table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
-    return joins.co_partitioned_join(o, l, ["o_orderkey"], 10)
+    return joins.co_partitioned_join(o, l, ["o_orderkey"])
 
 
-BANDS = "(SELECT p_partkey % 40 AS band, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(p_partkey % 40 AS INT) END AS lo, CAST(p_partkey % 40 + 3 AS INT) AS hi FROM part WHERE p_partkey <= 40)"
+#: A band of sizes for each size there is, some without a lower bound.
+BANDS = "(SELECT DISTINCT p_size AS band, CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_size END AS lo, p_size + 3 AS hi FROM part)"
 
 
 @query(f"SELECT p_partkey, band, lo, hi FROM part JOIN {BANDS} ON p_size BETWEEN lo AND hi")
 def range_join(s, d):
-    bands = table(s, d, "part").filter("p_partkey <= 40").selectExpr("p_partkey % 40 AS band", "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(p_partkey % 40 AS INT) END AS lo", "CAST(p_partkey % 40 + 3 AS INT) AS hi")
+    bands = table(s, d, "part").selectExpr("p_size AS band", "CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_size END AS lo", "p_size + 3 AS hi").distinct()
     return joins.range_join(table(s, d, "part").select("p_partkey", "p_size"), bands, "p_size", "lo", "hi", 4).select("p_partkey", "band", "lo", "hi")
 
 
-TWO_SIDES = f"(SELECT c_custkey, c_nationkey AS k FROM {NULLED_SQL} WHERE c_custkey % 50 = 0 OR c_custkey % 50 = 1) a"
+TWO_SIDES = f"(SELECT c_custkey, c_nationkey AS k FROM {NULLED_SQL}) a"
 OTHER_SIDE = "(SELECT n_name, CASE WHEN n_nationkey % 9 = 0 THEN NULL ELSE n_nationkey END AS k FROM nation) b"
 
 
 def two_sides(s, d):
-    a = nulled(s, d).filter("c_custkey % 50 in (0, 1)").selectExpr("c_custkey", "c_nationkey AS k")
+    a = nulled(s, d).selectExpr("c_custkey", "c_nationkey AS k")
     return a, table(s, d, "nation").selectExpr("n_name", "CASE WHEN n_nationkey % 9 = 0 THEN NULL ELSE n_nationkey END AS k")
 
 
@@ -324,7 +329,10 @@ def agg_distinct(s, d):
 
 @query("SELECT round(avg(c_acctbal), 4) AS mean, median(c_acctbal) AS median, CAST(count(*) AS BIGINT) AS n FROM customer")
 def agg_global_median(s, d):
-    return table(s, d, "customer").agg(F.round(F.avg("c_acctbal"), 4).alias("mean"), F.median("c_acctbal").alias("median"), n())
+    c = table(s, d, "customer")
+    rest = c.agg(F.round(F.avg("c_acctbal"), 4).alias("mean"), n()).withColumn("one", F.lit(1))
+    # both sides are one row
+    return rest.join(F.broadcast(W.quantile(c, "c_acctbal").select(F.col("q").alias("median"), F.lit(1).alias("one"))), "one").select("mean", "median", "n")
 
 
 @query(f"SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, CAST(count(c_acctbal) AS BIGINT) AS known, CAST(count(*) - count(c_acctbal) AS BIGINT) AS nulls, round(sum(coalesce(c_acctbal, 0)), 2) AS total FROM {NULLED_SQL} GROUP BY ALL")
@@ -382,11 +390,15 @@ def calendar_grouping(s, d):
     return table(s, d, "orders").groupBy(F.year(t).alias("y"), F.quarter(t).alias("q"), F.month(t).alias("m"), F.weekofyear(t).alias("w"), F.date_format(t, "yyyy-MM").alias("ym")).agg(n())
 
 
-@query("SELECT p_brand, round(sum((l_extendedprice / l_quantity - l_discount) * l_quantity), 2) AS revenue, CAST(count(*) AS BIGINT) AS lines, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS orders FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+@query(
+    """SELECT p_brand, round(revenue, 2) AS revenue, round(profit, 2) AS profit, lines, orders, round(100 * profit / revenue, 2) AS margin_pct, round(revenue / orders, 2) AS per_order, round(revenue / lines, 2) AS per_line
+    FROM (SELECT p_brand, sum((l_extendedprice / l_quantity - l_discount) * l_quantity) AS revenue, sum((l_extendedprice / l_quantity - l_discount) * l_quantity - p_retailprice * 0.6 * l_quantity) AS profit,
+    CAST(count(*) AS BIGINT) AS lines, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS orders FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
+)
 def profit_metrics(s, d):
     j = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    out = A.profit_metrics(j, ["p_brand"], F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_discount"), F.col("l_quantity"), F.col("p_retailprice") * 0, "l_orderkey")
-    return out.select("p_brand", money(F.col("revenue")).alias("revenue"), "lines", "orders")
+    out = A.profit_metrics(j, ["p_brand"], F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_discount"), F.col("l_quantity"), F.col("p_retailprice") * 0.6, "l_orderkey")
+    return out.withColumns({"revenue": money(F.col("revenue")), "profit": money(F.col("profit"))})
 
 
 @query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
@@ -456,9 +468,9 @@ def rank_disagreement(s, d):
     return W.rank_disagreement(table(s, d, "part"), ["p_brand"], "p_size", "p_retailprice").select("p_partkey", "rank_a", "rank_b")
 
 
-@query("SELECT event_id, v AS value, lag(v) OVER w AS previous, lead(v) OVER w AS following, first_value(v) OVER w AS first, CASE WHEN lag(v) OVER w IS NULL THEN 'first' WHEN v > lag(v) OVER w THEN 'up' WHEN v < lag(v) OVER w THEN 'down' ELSE 'same' END AS trend, CAST(datediff('day', CAST(lag(ts) OVER w AS DATE), CAST(ts AS DATE)) AS INT) AS gap_days FROM (SELECT *, value AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
+@query("SELECT event_id, v AS value, lag(v) OVER w AS previous, lead(v) OVER w AS following, first_value(v) OVER w AS first, CASE WHEN lag(v) OVER w IS NULL THEN 'first' WHEN v > lag(v) OVER w THEN 'up' WHEN v < lag(v) OVER w THEN 'down' ELSE 'same' END AS trend, CAST(datediff('day', CAST(lag(ts) OVER w AS DATE), CAST(ts AS DATE)) AS INT) AS gap_days, v - first_value(v) OVER w AS from_first FROM (SELECT *, value AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
 def timeline(s, d):
-    return W.timeline(table(s, d, "events"), ["user_id"], "value", "ts").select("event_id", "value", "previous", "following", "first", "trend", "gap_days")
+    return W.timeline(table(s, d, "events"), ["user_id"], "value", "ts").select("event_id", "value", "previous", "following", "first", "trend", "gap_days", "from_first")
 
 
 @query(f"SELECT o_orderpriority, day, CAST(sum(cents) OVER (PARTITION BY o_orderpriority ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM {DAILY}")
@@ -567,14 +579,30 @@ def json_props(s, d):
 
 @query("SELECT conv_id, turn, role, word FROM (SELECT conv_id, turn, role, unnest(string_split(text, ' ')) AS word FROM conversations)")
 def nested_explode(s, d):
-    turns = table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", F.split("text", " ").alias("words"))).alias("turns"))
+    turns = table(s, d, "conversations").select("conv_id", F.array(F.struct("turn", "role", F.split("text", " ").alias("words"))).alias("turns"))
     return nested.exploded(turns, {"turns": "t", "t.words": "word"}).select("conv_id", "t.turn", "t.role", "word")
 
 
-@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS turns FROM conversations GROUP BY ALL")
+@query("SELECT conv_id, role, CAST(count(DISTINCT turn) AS BIGINT) AS turns, CAST(count(word) AS BIGINT) AS words FROM (SELECT conv_id, turn, role, unnest(string_split(text, ' ')) AS word FROM conversations) GROUP BY ALL")
 def lateral_view(s, d):
-    packed = table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("roles"))
-    return s.sql("SELECT conv_id, count(role) AS turns FROM {t} LATERAL VIEW OUTER EXPLODE(roles) AS role GROUP BY conv_id", t=packed)
+    nested_turns = table(s, d, "conversations").select("conv_id", "turn", F.array(F.struct("role", F.split("text", " ").alias("words"))).alias("said"))
+    return s.sql(
+        "SELECT conv_id, one.role AS role, count(DISTINCT turn) AS turns, count(word) AS words FROM {t} LATERAL VIEW OUTER EXPLODE(said) AS one LATERAL VIEW OUTER EXPLODE(one.words) AS word GROUP BY conv_id, one.role",
+        t=nested_turns,
+    )
+
+
+@query("SELECT n_nationkey AS nation_key, n_name AS nation_name, r_name AS nation_region_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def flatten_paths(s, d):
+    n_, r = table(s, d, "nation"), table(s, d, "region")
+    deep = n_.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.struct(F.col("r_name").alias("name")).alias("region")).alias("nation"))
+    return nested.flattened(deep)
+
+
+@query("SELECT c_custkey, c_custkey % 4 <> 0 AS there, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 6 = 1 THEN 'none' ELSE c_mktsegment END AS segment FROM customer")
+def struct_defaults(s, d):
+    c = table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.struct(F.when(F.col("c_custkey") % 6 != 1, F.col("c_mktsegment")).alias("segment"))).alias("info"))
+    return c.select("c_custkey", F.col("info").isNotNull().alias("there"), nested.field_or("info", "segment", "none").alias("segment"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE c_mktsegment END AS segment, CAST(CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 1 END AS INT) AS known FROM customer")
@@ -722,15 +750,99 @@ def scd2(s, d):
     return merge.scd2(history, changes, "user_id", ["state"], "ts")
 
 
-@query("SELECT decision, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN event_type = first_value(event_type) OVER w THEN 'NO_CHANGE' WHEN ts <= first_value(ts) OVER w THEN 'OUTDATED' ELSE 'VALID' END AS decision FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) GROUP BY ALL")
+@query("SELECT decision, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN since IS NULL THEN 'NEW' WHEN ts < since THEN 'OUTDATED' WHEN event_type = was THEN 'NO_CHANGE' ELSE 'VALID' END AS decision FROM (SELECT DISTINCT user_id, event_type, ts FROM events) e LEFT JOIN (SELECT user_id AS u, event_type AS was, ts AS since FROM events WHERE user_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) = 1) ON user_id = u) GROUP BY ALL")
 def scd2_decisions(s, d):
-    history, changes = history_and_changes(s, d)
+    """Each event against its user's last one: late ones, equal ones and the last itself. Some users have no history."""
+    changes = table(s, d, "events").select("user_id", F.col("event_type").alias("state"), "ts")
+    last = A.deduplicated(changes, ["user_id"], F.desc("ts"), F.col("state")).filter("user_id % 5 <> 0")
+    history = last.select("user_id", "state", F.col("ts").alias("effective_from"), F.lit(True).alias("is_current"))
     return merge.classified(history, changes, "user_id", ["state"], "ts").groupBy("decision").agg(n())
 
 
-@query("SELECT user_id, CAST(0 AS BIGINT) AS current FROM events WHERE false")
+@query("SELECT user_id, CAST(CASE WHEN user_id % 10 = 0 THEN 0 ELSE 2 END AS BIGINT) AS current FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 10 IN (0, 5)")
 def scd2_invariant(s, d):
-    return merge.current_per_key(scd2(s, d), "user_id")
+    """A sound history, in which some users' current versions were lost and others' came twice."""
+    history = scd2(s, d).withColumn("is_current", F.col("is_current") & (F.col("user_id") % 10 != 0))
+    return merge.current_per_key(history.unionByName(history.filter("user_id % 10 = 5 and is_current")), "user_id")
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END, 'unknown') AS label FROM customer")
+def first_non_null(s, d):
+    c = nulled(s, d)
+    return c.select("c_custkey", C.first_of(F.col("c_name"), F.col("c_mktsegment"), F.lit("unknown")).alias("label"))
+
+
+@query(f"SELECT count_if(c_name IS NULL OR c_custkey IS NULL) = 0 AS no_nulls, 'some' AS columns FROM {NULLED_SQL} UNION ALL SELECT count_if(c_custkey IS NULL) = 0, 'keys' FROM {NULLED_SQL}")
+def no_nulls(s, d):
+    some, keys = quality.null_check(nulled(s, d), ["c_name", "c_custkey"]), quality.null_check(nulled(s, d), ["c_custkey"])
+    return some.withColumn("columns", F.lit("some")).unionByName(keys.withColumn("columns", F.lit("keys")))
+
+
+DIRTY = {
+    "salesperson": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE concat('  ann   lee ', CAST(o_custkey AS STRING), ' ') END",
+    "category": "CASE o_orderkey % 3 WHEN 0 THEN 'home electronics' WHEN 1 THEN 'GARDEN' ELSE ' toys ' END",
+    "amount": "CASE WHEN o_orderkey % 11 = 0 THEN 'n/a' ELSE CAST(CAST(o_totalprice AS BIGINT) AS STRING) END",
+    "region": "CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE 'east' END",
+    "email": "CASE WHEN o_orderkey % 6 = 0 THEN 'nobody' ELSE concat(' C', CAST(o_custkey AS STRING), '@Mail.example') END",
+}
+
+
+@query(
+    """SELECT o_orderkey, 'Ann Lee ' || o_custkey AS salesperson, CASE o_orderkey % 3 WHEN 0 THEN 'Electronics' WHEN 1 THEN 'Garden' ELSE 'Toys' END AS category, CAST(CAST(trunc(o_totalprice) AS BIGINT) AS DOUBLE) AS amount,
+    CAST(o_orderdate AS DATE) AS sale_date, CASE WHEN o_orderkey % 4 = 0 THEN 'Unknown' ELSE 'East' END AS region, CASE WHEN o_orderkey % 6 <> 0 THEN 'c' || o_custkey || '@mail.example' END AS email
+    FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 4 <> 3"""
+)
+def dirty_sales(s, d):
+    t, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    date = F.when(k == 0, F.date_format(t, "yyyy-MM-dd")).when(k == 1, F.date_format(t, "MM/dd/yyyy")).when(k == 2, F.date_format(t, "dd-MM-yyyy")).otherwise("soon")
+    dirty = table(s, d, "orders").select("o_orderkey", *(F.expr(e).alias(c) for c, e in DIRTY.items()), date.alias("sale_date"))
+    return cleaning.clean_sales(dirty, categories={"ELECTRONICS": "Electronics"}).select("o_orderkey", "salesperson", "category", "amount", "sale_date", "region", "email")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'S' || CAST(1000000 + c_custkey AS VARCHAR) ELSE 'S' || CAST((SELECT max(CASE WHEN c_custkey % 3 = 0 THEN 1000000 + c_custkey END) FROM customer) + row_number() OVER (PARTITION BY c_custkey % 3 = 0 ORDER BY c_custkey) AS VARCHAR) END AS sid FROM customer")
+def surrogate_ids(s, d):
+    c = table(s, d, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN concat('S', CAST(1000000 + c_custkey AS STRING)) WHEN c_custkey % 3 = 1 THEN ' ' END AS sid")
+    return cleaning.surrogate_ids(c, "sid", "S", "c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM orders")
+def sql_window(s, d):
+    return s.sql("SELECT o_orderkey, o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS running FROM {orders}", orders=table(s, d, "orders"))
+
+
+@query(f"SELECT DISTINCT a.k AS k FROM {SET_A} a JOIN {SET_B} b ON a.k = b.k")
+def intersect_by_join(s, d):
+    return setops.intersection_by_join(*nation_keys(s, d), ["k"])
+
+
+@query("SELECT c_custkey, c_name AS name, c_name AS name_2, c_mktsegment FROM customer")
+def duplicate_projection(s, d):
+    c = table(s, d, "customer")
+    return C.distinct_names(c.select("c_custkey", F.col("c_name").alias("name"), F.col("c_name").alias("name"), "c_mktsegment"))
+
+
+@query("SELECT 'balance' AS missing UNION ALL SELECT 'age'")
+def missing_columns(s, d):
+    return s.createDataFrame([(x,) for x in C.missing(table(s, d, "customer"), ["C_NAME", "balance", "c_custkey", "age"])], "missing string")
+
+
+@query("SELECT n_nationkey, n_name, n_comment_right, r_name FROM (SELECT n_nationkey, n_name, n_name || '!' AS n_comment_right, n_regionkey FROM nation) JOIN region ON n_regionkey = r_regionkey")
+def join_hygiene(s, d):
+    n_ = table(s, d, "nation")
+    other = n_.select("n_nationkey", F.concat("n_name", F.lit("!")).alias("n_name"), "n_regionkey")
+    out = joins.tidy_join(n_.select("n_nationkey", "n_name"), other, ["n_nationkey"])
+    return out.join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.col("n_name_right").alias("n_comment_right"), "r_name")
+
+
+@query("SELECT event_id, trim(regexp_replace(lower(event_type), '[^a-z]+', ' ', 'g')) AS clean, CAST(length(event_type) AS INT) AS len FROM events")
+def text_clean(s, d):
+    return table(s, d, "events").select("event_id", F.trim(F.regexp_replace(F.lower("event_type"), "[^a-z]+", " ")).alias("clean"), F.length("event_type").alias("len"))
+
+
+@query("SELECT o_orderkey, datediff('day', CAST(o_orderdate AS DATE), DATE '2024-01-01')::INT AS age_days FROM orders")
+def age_on_day(s, d):
+    """Days since, by a clock that the caller sets (X11)."""
+    return table(s, d, "orders").select("o_orderkey", P.age_days(F.col("o_orderdate"), F.lit("2024-01-01").cast("date")).alias("age_days"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark import SparkConf
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -17,6 +17,11 @@ def session(name: str = "lakeloom", master: str | None = None, **conf: str) -> S
     return builder.config(map=settings).getOrCreate()
 
 
+def context(name: str = "lakeloom", **conf: str) -> SparkContext:
+    """The session's context, or a new one."""
+    return SparkContext.getOrCreate(SparkConf().setAppName(name).setAll([(k.replace("_", "."), v) for k, v in conf.items()]))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

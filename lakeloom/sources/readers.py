@@ -78,6 +78,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def lines_rdd(spark: SparkSession, path: str) -> RDD:
+    """An RDD of lines."""
+    return spark.sparkContext.textFile(path)
+
+
+def whole_files_rdd(spark: SparkSession, path: str) -> RDD:
+    """An RDD of (path, content) of each file."""
+    return spark.sparkContext.wholeTextFiles(path)
+
+
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
     """path, content of each file."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))

@@ -5,8 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from lakeloom.functions import columns as C
 from lakeloom.functions import predicates as P
-from lakeloom.operators import cleaning, joins, merge, quality, skew, timeseries
+from lakeloom.operators import cleaning, joins, merge, quality, setops, skew, timeseries
 from lakeloom.operators import windows as W
 from lakeloom.plans import diagnostics
 
@@ -33,6 +34,114 @@ def test_range_join_equals_nested_loop(spark):
     assert sorted(want.collect()) == sorted(got.collect())
 
 
+def test_range_join_refuses_to_repeat_ranges(spark):
+    points, ranges = spark.range(3).selectExpr("id AS v"), spark.createDataFrame([(1, 0, 50), (2, None, 3)], "r int, lo int, hi int")
+    assert joins.range_join(points, ranges, "v", "lo", "hi", 4, "left").count() == 3
+    for how in ("right", "full", "left_anti"):
+        with pytest.raises(ValueError):
+            joins.range_join(points, ranges, "v", "lo", "hi", 4, how)
+
+
+def test_joined_names_stay_apart(spark):
+    a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(1, "y", 2)], "k int, V string, w int")
+    out = joins.tidy_join(a, b, ["k"])
+    assert out.columns == ["k", "v", "V_right", "w"] and tuple(out.first()) == (1, "x", "y", 2)
+    assert C.distinct_names(a.select("v", "k", "v")).columns == ["v", "k", "v_2"]
+    assert C.missing(a, ["K", "z"]) == ["z"]
+
+
+def test_rows_are_numbered_in_bands(spark):
+    rows = [(i, None if i % 10 == 0 else i * 7 % 13, f"n{i % 4}") for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, v int, s string")
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[0]))
+    for bands in (1, 4, 50):
+        got = [r.i for r in W.numbered(df, "n", "v", "s", "i", bands=bands).orderBy("n").collect()]
+        assert got == [r[0] for r in want]
+    assert W.numbered(df.limit(0), "n", "v").count() == 0
+    ranks = {r.i: r.position for r in W.global_rank(df, F.col("v"), bands=5).collect()}
+    place = {v: k for k, v in enumerate([None, *range(13)], 1)}
+    assert ranks == {i: place[v] for i, v, _ in rows}
+
+
+def test_quantiles(spark):
+    for values in ([3.0], [1.0, 2.0], [5.0, None, 1.0, 9.0], [2.0] * 50 + [7.0] * 50, [float(i * 37 % 101) for i in range(101)]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert W.quantile(df, "v", bands=6).first().q == df.agg(F.median("v")).first()[0]
+        assert W.quantile(df, "v", 0.9, bands=3).first().q == pytest.approx(df.agg(F.expr("percentile(v, 0.9)")).first()[0])
+    assert W.quantile(spark.createDataFrame([(None,)], "v double"), "v").first().q is None
+
+
+def test_imputers(spark):
+    df = spark.createDataFrame([(1, 1.0, 4.0), (2, None, 6.0), (3, 3.0, None), (4, 8.0, 6.0)], "k int, a double, b double")
+    out = quality.imputed(df, {"a": "median", "b": "mode"}).orderBy("k").collect()
+    assert [r.a for r in out] == [1, 3, 3, 8] and [r.b for r in out] == [4, 6, 6, 6]
+    assert [r.a for r in quality.imputed_by_model(df, ["a"], "mean").orderBy("k").collect()] == [1, 4, 3, 8]
+    assert quality.has_no_nulls(df, ["k"]) and not quality.has_no_nulls(df, ["k", "a"]) and quality.has_no_nulls(df.limit(0), ["a"])
+
+
+def test_first_row(spark):
+    df = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
+    assert setops.first_row(df, F.col("k")) == (1, "a") and setops.first_row(df.limit(0)) is None
+
+
+def test_salted_joins_agree_with_the_plain_one(spark):
+    fact = spark.range(2_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id % 40 END AS k")
+    other = spark.range(45).selectExpr("id AS k", "id * 2 AS v").filter("k <> 11")
+    for how in ("inner", "left"):
+        want = sorted(map(str, fact.join(other, "k", how).select("id", "k", "v").collect()))
+        for most in (50, 1):
+            assert sorted(map(str, skew.salted_join(fact, other, "k", 30, 4, how, most).select("id", "k", "v").collect())) == want
+    salted = skew.random_salt(fact, 4, 42)
+    assert {r.salt for r in salted.collect()} == {0, 1, 2, 3}
+    assert sorted(map(str, salted.collect())) == sorted(map(str, skew.random_salt(fact, 4, 42).collect()))
+
+
+def test_salted_fact_is_not_dealt_by_its_skewed_key(spark):
+    fact = spark.range(2_000).selectExpr("id", "IF(id % 3 = 0, 7, id % 40) AS k")
+    text = diagnostics.plan_text(skew.salted_join(fact, spark.range(45).selectExpr("id AS k"), "k", 100, 4).hint("merge"))
+    assert "BroadcastExchange" in text
+
+
+ADDRESSES = {"a@b.co": True, "first.last+tag@mail.example.org": True, "A_%-1@x-y.io": True, "a@b": False, "a@.co": False, "a@b..co": False, "@b.co": False, "a b@c.de": False, "a@b.c": False, "a@b.c1": False, "é@b.co": False, "a@b.co ": False}
+
+
+def test_addresses(spark):
+    df = spark.createDataFrame([(a,) for a in ADDRESSES], "a string")
+    assert {r.a: r.ok for r in df.select("a", F.col("a").rlike(cleaning.EMAIL).alias("ok")).collect()} == ADDRESSES
+
+
+def test_surrogate_ids(spark):
+    df = spark.createDataFrame([(1, "S150"), (2, None), (3, " "), (4, "S7"), (5, None)], "k int, sid string")
+    assert [(r.k, r.sid) for r in cleaning.surrogate_ids(df, "sid", "S", "k").orderBy("k").collect()] == [(1, "S150"), (2, "S151"), (3, "S152"), (4, "S7"), (5, "S153")]
+    blank = spark.createDataFrame([(k, None) for k in range(950)], "k int, sid string")
+    ids = {r.sid for r in cleaning.surrogate_ids(blank, "sid", "S", "k", bands=7).collect()}
+    assert ids == {f"S{101 + k}" for k in range(950)}
+
+
+def test_changes_are_asked_in_order(spark):
+    """A late change with equal attributes is outdated, one at the very start is not."""
+    history = spark.createDataFrame([("u", "a", ts(5), None, True)], HISTORY)
+    changes = spark.createDataFrame([("u", "a", ts(4)), ("u", "b", ts(4)), ("u", "a", ts(5)), ("u", "b", ts(5)), ("u", "a", ts(6)), ("u", "b", ts(6)), ("v", "a", ts(1))], "user string, plan string, at timestamp")
+    out = {(r.user, r.plan, r["at"].day): r.decision for r in merge.classified(history, changes, "user", ["plan"], "at").collect()}
+    assert out == {("u", "a", 4): "OUTDATED", ("u", "b", 4): "OUTDATED", ("u", "a", 5): "NO_CHANGE", ("u", "b", 5): "VALID", ("u", "a", 6): "NO_CHANGE", ("u", "b", 6): "VALID", ("v", "a", 1): "NEW"}
+
+
+def test_type_1_takes_one_row_of_a_key(spark):
+    target = spark.createDataFrame([(1, "a", dt.date(2024, 1, 1))], "id int, v string, seen date")
+    batch = spark.createDataFrame([(1, "y", 1), (1, "z", 2), (2, "p", 4), (2, "q", 3)], "id int, v string, at int")
+    now = F.lit("2024-02-02").cast("date")
+    assert sorted((r.id, r.v) for r in merge.scd1(target, batch, "id", [], "seen", now, F.desc("at")).collect()) == [(1, "z"), (2, "p")]
+    assert merge.scd1(target, batch, "id", [], "seen", now).count() == 2
+
+
+def test_type_2_shuffles_once(spark):
+    """All windows of the merge share one exchange by key."""
+    history = spark.createDataFrame([("u", "a", ts(5), None, True)], HISTORY)
+    changes = spark.createDataFrame([("u", "b", ts(6))], "user string, plan string, at timestamp")
+    text = diagnostics.plan_text(merge.scd2(history, changes, "user", ["plan"], "at", "merge"), "simple")
+    assert text.count("Window") and text.count("hashpartitioning(user#") - text.count("hashpartitioning(user#0, plan") <= 2
+
+
 def test_salted_sum_keeps_keys_with_underscores_apart(spark):
     df = spark.range(10_000).selectExpr("CASE WHEN id % 10 = 0 THEN 'cust_hot' ELSE concat('cust_', id % 90, '_', id % 3) END AS k", "id", "1 AS v")
     plain = {r.k: r.n for r in df.groupBy("k").agg(F.count("*").alias("n")).collect()}
