@@ -5,7 +5,8 @@ vocabulary, and a word's place in them is its id. Bigrams are pairs of ids in on
 each bucket of contexts (a context with more than its share of tokens is dealt by the pair, so no bucket grows with it).
 Tasks count what they read in arrays, and one row for each bucket goes through the shuffle. Per-word arrays hold the
 continuation count and the numbers of followers seen once, twice, and more often; the discounts follow from the counts of
-counts. Workers map these files into memory and look up the sorted keys of a batch at a time.
+counts. Workers look up the sorted keys of a batch at a time, bucket by bucket, in files that they map into memory when
+they are asked for, and let go of again.
 
 Tokens of a text: its words, A-Z in lower case, and one end. An unknown word takes the share of one more word.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_of, lower_words, pieces, scratch
-from .files import get, mapped, put
+from .files import mapped, put
 
 #: The end of a text; no word has white space in it.
 END = xxhash.xxh64_intdigest(b" ")
@@ -34,6 +36,12 @@ END = xxhash.xxh64_intdigest(b" ")
 TOKENS_AT_ONCE = 4_000_000
 CHARS_PER_BUCKET = 16_000_000
 COUNTED = "bucket int, keys binary, counts binary"
+#: Buckets at most (bits of them), and files that a worker maps at once.
+MOST_BITS, MAPPED = 22, 8_192
+
+
+#: The kind of a row that holds a bucket's counts of counts.
+COUNTS = -1
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -106,26 +114,41 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, n
     return out
 
 
+class Files(OrderedDict):
+    """Arrays of numbered files, mapped when they are asked for; those asked for longest ago are let go of."""
+
+    def __init__(self, names, dtype: str, most: int = MAPPED) -> None:
+        super().__init__()
+        self.names, self.dtype, self.most = names, dtype, most
+
+    def __missing__(self, number: int) -> np.ndarray:
+        while len(self) >= self.most:
+            self.popitem(last=False)
+        self[number] = out = mapped(self.names(number), self.dtype)
+        return out
+
+
 class Vocabulary:
     """The sorted hashes of training words and their counts."""
 
     def __init__(self, folder: str, sizes: list[int], bits: int) -> None:
         self.bits = bits
         self.starts = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-        self.hashes = [mapped(f"{folder}/words-{b}.bin", "<u8") if n else np.empty(0, np.uint64) for b, n in enumerate(sizes)]
-        self.counts = [mapped(f"{folder}/counts-{b}.bin", "<i8") if n else np.empty(0, np.int64) for b, n in enumerate(sizes)]
+        self.hashes = Files(lambda b: f"{folder}/words-{b}.bin", "<u8")
+        self.counts = Files(lambda b: f"{folder}/counts-{b}.bin", "<i8")
 
     def find(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count) of each of these sorted hashes."""
         ids, counts = np.full(len(sorted_hashes), -1, np.int64), np.zeros(len(sorted_hashes), np.int64)
-        n = len(self.hashes)
+        n = len(self.starts) - 1
         edges = np.searchsorted(sorted_hashes, np.array([b << (64 - self.bits) for b in range(n)], np.uint64)).tolist() + [len(sorted_hashes)]
         for b in range(n):
             own = sorted_hashes[edges[b] : edges[b + 1]]
-            if not len(own) or not len(self.hashes[b]):
+            if not len(own) or self.starts[b] == self.starts[b + 1]:
                 continue
-            at = np.minimum(np.searchsorted(self.hashes[b], own), len(self.hashes[b]) - 1)
-            hit = self.hashes[b][at] == own
+            known = self.hashes[b]
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[at] == own
             ids[edges[b] : edges[b + 1]] = np.where(hit, at + self.starts[b], -1)
             counts[edges[b] : edges[b + 1]] = np.where(hit, self.counts[b][at], 0)
         return ids, counts
@@ -155,7 +178,7 @@ def trained(docs: DataFrame, folder: str) -> dict:
     spark = docs.sparkSession
     texts = docs.select("text")
     size, n_texts = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    bits = min(16, max(3, (size // CHARS_PER_BUCKET).bit_length()))
+    bits = min(MOST_BITS, max(3, (size // CHARS_PER_BUCKET).bit_length()))
     n_buckets = 1 << bits
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +223,8 @@ def trained(docs: DataFrame, folder: str) -> dict:
             put(f"{folder}/times-{bucket}.bin", np.minimum(counts, 255).astype(np.uint8).tobytes())
             often = np.flatnonzero(counts >= 255)
             put(f"{folder}/often-{bucket}.bin", np.concatenate([often, counts[often]]).astype("<i8").tobytes())
-            put(f"{folder}/counted-{bucket}.json", json.dumps(np.bincount(np.minimum(counts, 5), minlength=6).tolist()).encode())
+            counted = zlib.compress(np.bincount(np.minimum(counts, 5), minlength=6).astype("<i8").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([COUNTS], pa.int32()), pa.array([counted], pa.binary()), pa.array([None], pa.binary())], names=["part", "kind", "ids", "n"])
             context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
             for kind, ids in ((0, word), (1, context[counts == 1]), (2, context[counts == 2]), (3, context[counts >= 3])):
                 u, n = np.unique(ids, return_counts=True)
@@ -211,27 +235,31 @@ def trained(docs: DataFrame, folder: str) -> dict:
 
     def store_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
+        by_count: dict[int, list[int]] = {}
         for batch in batches:
             for part, kind, ids, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == COUNTS:
+                    by_count[part] = np.frombuffer(zlib.decompress(ids), "<i8").tolist()
+                    continue
                 out = held.setdefault(part, np.zeros((4, width), np.uint32))
                 out[kind][np.cumsum(np.frombuffer(zlib.decompress(ids), np.uint32).astype(np.int64))] += np.frombuffer(zlib.decompress(n), np.uint32)
-        for part, out in held.items():
-            put(f"{folder}/ids-{part}.bin", out.astype("<u4").tobytes())
-            n = np.bincount(np.minimum(out[0], 5), minlength=6).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.list_(pa.int64())), pa.array([int(out[0].sum(dtype=np.int64))], pa.int64())], names=["part", "counted", "total"])
-
+        for part in sorted(held.keys() | by_count.keys()):
+            n, total = None, 0
+            if part in held:
+                out = held[part]
+                put(f"{folder}/ids-{part}.bin", out.astype("<u4").tobytes())
+                n, total = np.bincount(np.minimum(out[0], 5), minlength=6).tolist(), int(out[0].sum(dtype=np.int64))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], kind), pa.array([total], pa.int64()), pa.array([by_count.get(part)], kind)], names=["part", "counted", "total", "pairs"])
+
+    # A row for each bucket is all that the driver sees.
     counted = texts.mapInArrow(count_pairs, COUNTED).repartition(n_buckets, "bucket").mapInArrow(store_pairs, "part int, kind int, ids binary, n binary")
-    parts = counted.repartition(n_buckets, "part").mapInArrow(store_ids, "part long, counted array<bigint>, total long").collect()
-    by_count = np.zeros(6, np.int64)
-    exists = []
-    for b in range(n_buckets):
-        try:
-            by_count += np.array(json.loads(get(f"{folder}/counted-{b}.json")))
-            exists.append(b)
-        except FileNotFoundError:
-            continue
-    continued = np.sum([r["counted"] for r in parts], axis=0).astype(np.int64) if parts else np.zeros(6, np.int64)
-    model = {"bits": bits, "sizes": sizes, "v": v, "total": int(total), "texts": int(n_texts), "hot": hot, "width": width, "pairs": exists, "parts": sorted(r["part"] for r in parts), "types": int(sum(r["total"] for r in parts)), "d": discounts(by_count.tolist()), "d1": discounts(continued.tolist()), "continued": [0, int(continued[1]), int(continued[2]), int(continued[3:].sum())]}
+    parts = counted.repartition(n_buckets, "part").mapInArrow(store_ids, "part long, counted array<bigint>, total long, pairs array<bigint>").collect()
+    none = np.zeros(6, np.int64)
+    exists = sorted(r["part"] for r in parts if r["pairs"])
+    by_count = sum((np.array(r["pairs"]) for r in parts if r["pairs"]), none)
+    continued = sum((np.array(r["counted"]) for r in parts if r["counted"]), none)
+    model = {"bits": bits, "sizes": sizes, "v": v, "total": int(total), "texts": int(n_texts), "hot": hot, "width": width, "pairs": exists, "parts": sorted(r["part"] for r in parts if r["counted"]), "types": int(sum(r["total"] for r in parts)), "d": discounts(by_count.tolist()), "d1": discounts(continued.tolist()), "continued": [0, int(continued[1]), int(continued[2]), int(continued[3:].sum())]}
     put(f"{folder}/model.json", json.dumps(model).encode())
     return model
 
@@ -239,18 +267,18 @@ def trained(docs: DataFrame, folder: str) -> dict:
 class Lookup:
     """Values by id from the arrays of buckets of ids."""
 
-    def __init__(self, arrays: list[np.ndarray], starts: np.ndarray) -> None:
+    def __init__(self, arrays: Files, starts: np.ndarray) -> None:
         self.arrays, self.starts = arrays, starts
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
         which = np.searchsorted(self.starts, ids, side="right") - 1
         order = np.argsort(which, kind="stable")
-        edges = np.searchsorted(which[order], np.arange(len(self.arrays) + 1))
-        for b, a in enumerate(self.arrays):
+        edges = np.searchsorted(which[order], np.arange(len(self.starts)))
+        for b in range(len(self.starts) - 1):
             own = order[edges[b] : edges[b + 1]]
-            if len(own) and len(a):
-                out[own] = a[ids[own] - self.starts[b]]
+            if len(own) and self.starts[b] < self.starts[b + 1]:
+                out[own] = self.arrays[b][ids[own] - self.starts[b]]
         return out
 
 
@@ -263,15 +291,16 @@ def pairs(ids: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
 
 
 class Model:
-    """The arrays of a model, mapped into memory."""
+    """The arrays of a model, mapped into memory as they are asked for."""
 
     def __init__(self, folder: str, model: dict) -> None:
         self.m = model
         self.words = Vocabulary(folder, model["sizes"], model["bits"])
-        self.keys = {b: mapped(f"{folder}/pairs-{b}.bin", "<u8") for b in model["pairs"]}
-        self.times = {b: mapped(f"{folder}/times-{b}.bin", "u1") for b in model["pairs"]}
-        self.often = {b: np.asarray(mapped(f"{folder}/often-{b}.bin", "<i8")).reshape(2, -1) for b in model["pairs"]}
-        self.ids = {p: mapped(f"{folder}/ids-{p}.bin", "<u4").reshape(4, -1) for p in model["parts"]}
+        self.pairs, self.parts = set(model["pairs"]), set(model["parts"])
+        self.keys = Files(lambda b: f"{folder}/pairs-{b}.bin", "<u8")
+        self.times = Files(lambda b: f"{folder}/times-{b}.bin", "u1")
+        self.often = Files(lambda b: f"{folder}/often-{b}.bin", "<i8")
+        self.ids = Files(lambda p: f"{folder}/ids-{p}.bin", "<u4")
         self.d, self.d1 = np.array(model["d"]), np.array(model["d1"])
         self.bucket_of = bucketing(model["bits"], model["hot"], model["v"])
         self.rest = float(self.d1 @ np.array(model["continued"])) / max(1, model["types"])
@@ -281,9 +310,9 @@ class Model:
         out = np.zeros((4, len(ids)), np.float64)
         part = np.where(ids < 0, -1, ids // self.m["width"])
         for p in np.unique(part).tolist():
-            if p in self.ids:
+            if p in self.parts:
                 own = np.flatnonzero(part == p)
-                out[:, own] = self.ids[p][:, ids[own] - p * self.m["width"]]
+                out[:, own] = self.ids[p].reshape(4, -1)[:, ids[own] - p * self.m["width"]]
         return out
 
     def times_of(self, keys: np.ndarray, context_counts: np.ndarray) -> np.ndarray:
@@ -291,15 +320,17 @@ class Model:
         out, bucket = np.zeros(len(keys), np.int64), self.bucket_of(keys, context_counts)
         order = np.argsort(bucket.astype(np.uint32), kind="stable")
         edges = np.searchsorted(bucket[order], np.arange((1 << self.m["bits"]) + 1))
-        for b, table in self.keys.items():
+        for b in np.flatnonzero(np.diff(edges)).tolist():
             own = order[edges[b] : edges[b + 1]]
-            if not len(own):
+            if b not in self.pairs:
                 continue
+            table = self.keys[b]
             at = np.minimum(np.searchsorted(table, keys[own]), len(table) - 1)
             n = self.times[b][at].astype(np.int64)
             big = np.flatnonzero(n == 255)
             if len(big):
-                n[big] = self.often[b][1][np.searchsorted(self.often[b][0], at[big])]
+                often = self.often[b].reshape(2, -1)
+                n[big] = often[1][np.searchsorted(often[0], at[big])]
             out[own] = np.where(table[at] == keys[own], n, 0)
         return out
 

@@ -1,6 +1,7 @@
 """Each operator on awkward rows against a plain computation; empty tables, nulls, repeats, ties and clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -111,10 +112,32 @@ def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
     for n in (1, 2, 3, 7, 100, 4099):
-        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5)).alias("p")).collect()
+        got = mixing.permuted(spark.range(n).withColumn("n", F.lit(n).cast("long")), "p", "id", "n", F.lit(5)).collect()
         assert sorted(r.p for r in got) == list(range(n))
 
 
+def plain_components(prints, bits=3):
+    """(id, smallest id reachable over links of at most so many differing bits) of rows (id, fingerprint), by brute force."""
+    least = {i: i for i, _ in prints}
+    same = {}
+    for i, f in prints:
+        same.setdefault(f, set()).add(i)
+    links = [(i, j) for f in same for g in same if (f ^ g).bit_count() <= bits for i in same[f] for j in same[g]]
+    while True:
+        before = dict(least)
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+        if least == before:
+            return [(i, least[i]) for i, _ in prints]
+
+
+def test_components_of_the_documents(spark):
+    """The query on a small table against brute force."""
+    ship(spark)
+    out = simhash.near_duplicates(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == sorted(plain_components([(r.doc_id, int(r.fingerprint, 16)) for r in out]))
+
+
 def test_fingerprints_and_components(docs, none):
     def fp(t):
         w = words(t)
@@ -124,10 +147,8 @@ def test_fingerprints_and_components(docs, none):
 
     out = simhash.near_duplicates(docs).collect()
     assert Counter((r.doc_id, r.fingerprint) for r in out) == Counter((i, f"{fp(t):016x}") for i, t, _ in ROWS)
-    best = {}
-    for i, t, _ in ROWS:
-        best[i] = min(j for j, u, _ in ROWS if (fp(t) ^ fp(u)).bit_count() <= 3)
-    assert all(r.component_id <= best[r.doc_id] for r in out)
+    found = [(r.doc_id, r.component_id) for r in out]
+    assert Counter(found) == Counter(plain_components([(i, fp(t)) for i, t, _ in ROWS]))
     assert {r.component_id for r in out if r.doc_id in (3, 4, 5)} == {3}
     assert simhash.near_duplicates(none).count() == 0
 
@@ -328,11 +349,66 @@ def test_media(docs, none):
     assert sum(r.frames for r in rows) == sum(k * n for (*_, n), k in Counter((*x, x[2] // 576) for x in want.elements()).items())
 
 
-def test_language_model(docs, none):
-    out = ngram_lm.language_model_scores(docs).collect()
-    assert len(out) == len(ROWS)
-    assert all(r.n_tokens >= 1 and r.score <= 0 and r.n_known <= r.n_tokens for r in out)
+def plain_kneser_ney(train):
+    """The model by its definition: (log10 probability of the tokens of a text, its counts) over token lists."""
+    pairs, words = Counter(), Counter()
+    for text in train:
+        words.update(text)
+        pairs.update(zip([None, *text], text, strict=False))
+    contexts = words + Counter({None: len(train)})
+    continued = Counter(w for _, w in pairs)
+
+    def discounts(values):
+        n = [sum(v == k for v in values) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        return [0.0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.0), float(k)) if n[k] and n[k + 1] else other for k, other in ((1, 0.5), (2, 1.0), (3, 1.5)))]
+
+    d2, d1, types, v = discounts(pairs.values()), discounts(continued.values()), len(pairs), len(words)
+    rest = sum(d1[min(n, 3)] for n in continued.values()) / max(1, types) if types else 1.0
+    followers = {}
+    for (c, _), n in pairs.items():
+        followers.setdefault(c, []).append(min(n, 3))
+
+    def one(w):
+        n = continued[w]
+        return max(n - d1[min(n, 3)], 0) / max(1, types) + rest / (v + 1)
+
+    def two(c, w):
+        if not contexts[c]:
+            return one(w)
+        n = pairs[c, w]
+        return max(n - d2[min(n, 3)], 0) / contexts[c] + sum(d2[k] for k in followers[c]) / contexts[c] * one(w)
+
+    return (lambda text: sum(math.log10(two(c, w)) for c, w in zip([None, *text], text, strict=False))), words
+
+
+def test_language_model(docs, none, spark):
+    """Every column against the model by its definition; awkward rows, repeated and null ids, no training rows."""
+    end = b" "
+    rng = np.random.default_rng(7)
+    made = [(100 + i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 30) % 50)) for i in range(60)]
+    rows = [(i, t) for i, t, _ in ROWS] + made + made[:4] + [(None, "w1 w2 Unseen"), (None, None)]
+    out = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in ngram_lm.language_model_scores(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int")).collect())
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    token_lists = [[*words(t), end] for _, t in rows]
+    model, counts = plain_kneser_ney([t for (i, _), t in zip(rows, token_lists, strict=True) if not held(i)])
+    total, v, want = counts.total(), len(counts), Counter()
+    for (i, _), t in zip(rows, token_lists, strict=True):
+        base = sum(math.log10((counts[w] + 1) / (total + v + 1)) for w in t)
+        want[(i, held(i), len(t), sum(counts[w] > 0 for w in t), total, round(base, 6), round(model(t), 6))] += 1
+    assert {x[:5] for x in out} == {x[:5] for x in want}
+    assert sorted(map(str, out.elements())) == sorted(map(str, want.elements()))
     assert ngram_lm.language_model_scores(none).count() == 0
+    only = next(i for i in range(100) if held(i))
+    alone = ngram_lm.language_model_scores(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).first()
+    assert (alone.n_tokens, alone.n_known, alone.train_tokens, alone.score) == (3, 0, 0, 0.0)
+
+
+def test_files_are_let_go_of(tmp_path):
+    for k in range(5):
+        np.arange(k, k + 3, dtype="<i8").tofile(tmp_path / f"{k}.bin")
+    files = ngram_lm.Files(lambda k: f"{tmp_path}/{k}.bin", "<i8", most=2)
+    assert [int(files[k][0]) for k in (0, 1, 2, 0, 3, 4, 0)] == [0, 1, 2, 0, 3, 4, 0] and len(files) == 2
 
 
 def plain_sum(values):
