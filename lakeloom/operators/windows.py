@@ -129,3 +129,16 @@ def timeline(df: DataFrame, by: Sequence[str], value: str, when: str) -> DataFra
     before, after, first = F.lag(value).over(w), F.lead(value).over(w), F.first_value(value).over(w)
     trend = F.when(before.isNull(), "first").when(F.col(value) > before, "up").when(F.col(value) < before, "down").otherwise("same")
     return df.withColumns({"previous": before, "following": after, "first": first, "trend": trend, "gap_days": F.datediff(F.col(when), F.lag(when).over(w)), "from_first": F.col(value) - first})
+
+
+def compared(value: Column, other: Column, more: str, less: str, same: str, none: str) -> Column:
+    """A label for how a value stands to another; `none` where there is no other."""
+    return F.when(other.isNull(), none).when(value > other, more).when(value < other, less).otherwise(same)
+
+
+def pace(days: Column, *steps: tuple[int, str], otherwise: str, none: str) -> Column:
+    """A label for a number of days: that of the first step that holds it; steps rise."""
+    out = F.when(days.isNull(), none)
+    for most, label in steps:
+        out = out.when(days <= most, label)
+    return out.otherwise(otherwise)

@@ -473,6 +473,27 @@ def timeline(s, d):
     return W.timeline(table(s, d, "events"), ["user_id"], "value", "ts").select("event_id", "value", "previous", "following", "first", "trend", "gap_days", "from_first")
 
 
+@query(
+    """SELECT event_id, CASE WHEN p IS NULL THEN 'first' WHEN value > p THEN 'increased' WHEN value < p THEN 'decreased' ELSE 'same' END AS variance,
+    CASE WHEN pd IS NULL THEN 'first' WHEN gap <= 1 THEN 'frequent' WHEN gap <= 3 THEN 'regular' ELSE 'infrequent' END AS frequency,
+    CASE WHEN f IS NULL THEN 'last' WHEN f > value THEN 'will rise' WHEN f < value THEN 'will fall' ELSE 'will stay' END AS outlook,
+    CASE WHEN fd IS NULL THEN 'gone' WHEN ahead <= 1 THEN 'soon' WHEN ahead <= 3 THEN 'later' ELSE 'rare' END AS comes_back,
+    CASE WHEN value > v1 THEN 'more than first' WHEN value < v1 THEN 'less than first' ELSE 'as first' END AS evolution
+    FROM (SELECT *, datediff('day', pd, d) AS gap, datediff('day', d, fd) AS ahead FROM (SELECT event_id, value, CAST(ts AS DATE) AS d, lag(value) OVER w AS p, lead(value) OVER w AS f, CAST(lag(ts) OVER w AS DATE) AS pd, CAST(lead(ts) OVER w AS DATE) AS fd, first_value(value) OVER w AS v1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)))"""
+)
+def lag_lead_labels(s, d):
+    w, value, when = Window.partitionBy("user_id").orderBy("ts"), F.col("value"), F.col("ts")
+    near = table(s, d, "events").withColumns({"before": F.lag("value").over(w), "after": F.lead("value").over(w), "first": F.first_value("value").over(w), "gap": F.datediff(when, F.lag("ts").over(w)), "ahead": F.datediff(F.lead("ts").over(w), when)})
+    return near.select(
+        "event_id",
+        W.compared(value, F.col("before"), "increased", "decreased", "same", "first").alias("variance"),
+        W.pace(F.col("gap"), (1, "frequent"), (3, "regular"), otherwise="infrequent", none="first").alias("frequency"),
+        W.compared(F.col("after"), F.when(F.col("after").isNotNull(), value), "will rise", "will fall", "will stay", "last").alias("outlook"),
+        W.pace(F.col("ahead"), (1, "soon"), (3, "later"), otherwise="rare", none="gone").alias("comes_back"),
+        W.compared(value, F.col("first"), "more than first", "less than first", "as first", "none").alias("evolution"),
+    )
+
+
 @query(f"SELECT o_orderpriority, day, CAST(sum(cents) OVER (PARTITION BY o_orderpriority ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM {DAILY}")
 def running_total(s, d):
     return daily(s, d).select("o_orderpriority", "day", W.running_sum("cents", ["o_orderpriority"], "day").alias("running"))
