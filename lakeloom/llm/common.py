@@ -40,20 +40,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one made here where the cluster names none (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or, in local mode only, one made here where none is named."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lakeloom-')}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/lakeloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there goes when the application ends, as results may read it until then."""
+    path = f"{shared_folder(spark)}/lakeloom/{name}-{uuid.uuid4().hex}"
+    fs, place = hadoop(spark, path)
+    fs.deleteOnExit(place)
+    return path
+
+
+def hadoop(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path, for the JVM."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def written(df: DataFrame, name: str, **options: object) -> DataFrame:
@@ -65,9 +76,8 @@ def written(df: DataFrame, name: str, **options: object) -> DataFrame:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    fs, place = hadoop(spark, path)
+    fs.delete(place, True)
 
 
 def crc32_of(column: str) -> Column:
