@@ -67,7 +67,5 @@ def deduplicated(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFram
 
 def word_count(df: DataFrame, text: str = "text") -> DataFrame:
     """word, n over white-space separated words in lower case."""
-    # one character to split at needs no regular expression
-    spaced = F.translate(F.lower(text), "\t\n\x0b\f\r", "     ")
-    words = df.select(F.explode(F.split(spaced, " ")).alias("word")).filter("word <> ''")
+    words = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
