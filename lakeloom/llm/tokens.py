@@ -137,14 +137,15 @@ def separator_scan(spark: SparkSession, folder: str, files: DataFrame, separator
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = opened(folder)
-        kind = pa.list_(pa.struct([("last", pa.int64()), ("at", pa.int64())]))
         for batch in batches:
             for file, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.open_input_file(f"{path}/{file}") as f:
                     data = np.frombuffer(f.read_at(min(block_bytes, f.size() - block * block_bytes), block * block_bytes), "<u2")
                 found = np.flatnonzero(data == separator) + block * (block_bytes // 2)
-                each = [{"last": a, "at": b} for a, b in zip([None, *found[:-1].tolist()], found.tolist(), strict=True)] if len(found) else []
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([len(found)], pa.int64()), pa.array([int(found[-1]) if len(found) else None], pa.int64()), pa.array([each], kind)], names=["file", "block", "n", "last", "found"])
+                # the separator before each, none before the first
+                last = pa.array(np.r_[0, found[:-1]] if len(found) else found, pa.int64(), mask=np.arange(len(found)) == 0)
+                each = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.StructArray.from_arrays([last, pa.array(found, pa.int64())], names=["last", "at"]))
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([len(found)], pa.int64()), pa.array([int(found[-1]) if len(found) else None], pa.int64()), each], names=["file", "block", "n", "last", "found"])
 
     parts = spark.sparkContext.defaultParallelism * 4
     blocks = names.mapInArrow(cut, "file string, block long").repartition(parts, "file", "block")

@@ -301,6 +301,15 @@ def test_tokens(docs, none):
     assert tokens.token_counts(none).count() == 0
 
 
+def test_token_files_roll(docs, spark, tmp_path):
+    """Documents over several files of a task, blocks that hold no separator and blocks that hold many."""
+    files = tokens.write_token_files(docs, str(tmp_path), roll_bytes=60)
+    assert files.select("file").distinct().count() > 5
+    for block_bytes in (2, 34, 1 << 20):
+        found = files.join(tokens.separator_scan(spark, str(tmp_path), files, block_bytes=block_bytes), ["file", "ordinal"]).collect()
+        assert Counter((r.doc_id, r.n_tokens) for r in found) == Counter((i, len(tokens.Encoder().encode(t))) for i, t, _ in ROWS)
+
+
 def plainly_read(media):
     """Samples of each frame of an AVI file: its movi list walked chunk by chunk, every frame decoded bit by bit."""
     at, frames = media.index(b"movi") + 4, []
@@ -472,6 +481,13 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_rows(spark):
+    """Repeated ids, and columns whose names the operator uses."""
+    ship(spark)
+    df = spark.createDataFrame([(1, "u", "<p>One, two.</p>", "x", 7), (1, "u", "<p>Three, four.</p>", "y", 8), (None, None, "<p>Five.</p>", None, None)], "page_id long, url string, html string, text string, n_chars int")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_extract.extract(df).collect()) == [(0, "Five.", 5), (1, "One, two.", 9), (1, "Three, four.", 12)]
+
+
 def test_html_keeps_heading_and_lead_beside_a_long_body():
     lead, body = "The lead, in short, says it all. " * 9, "A paragraph, with commas, of the body. " * 10
     page = f"<html><body><div class=story><h1>Title</h1><p>{lead}</p><div class=body>" + f"<p>{body}</p>" * 10 + "</div></div></body></html>"
@@ -618,6 +634,10 @@ def test_toxicity(spark):
     assert out[501].predicted == out[502].predicted == 0 and 0 <= out[501].score <= 1
     assert toxicity.Automaton(["idiot"]).look("idoit") == (1, "idiot")
     assert toxicity.scored(df.limit(0), lexicon).count() == 0
+    again = spark.createDataFrame([(7, "you are an idiot", 1.0, 2), (7, "you are an idiot", 1.0, 2), (7, "a nice day " * 40_000 + "idiot", 1.0, 2), (None, "idiot", 1.0, 2)], "doc_id long, text string, score double, predicted int")
+    rows = toxicity.scored(again, lexicon).collect()
+    assert len(rows) == 4 and len({r.score for r in rows if r.doc_id == 7}) == 2 and all(r.n_matches >= 1 for r in rows)
+    assert toxicity.without_toxic(again, lexicon).columns == again.columns
     assert toxicity.learn(df, labels.limit(0)).terms == []
     assert {r.doc_id for r in toxicity.without_toxic(df, lexicon).collect()} >= {i for i in range(120) if i % 3}
 
