@@ -85,11 +85,6 @@ def crc32_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def ascii_lower(column: Column) -> Column:
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(column, upper, upper.lower())
-
-
 def lower_words(text: str | None) -> list[bytes]:
     """Words of a text in UTF-8, A-Z in lower case. bytes.split() parts at exactly the white space that WORD names."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

@@ -20,6 +20,7 @@ columns are left alone.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, lower_words, pieces, scratch, written
+from .common import discard, lower_words, pieces, scratch, written
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Rows with one key that a task compares at once; longer runs are split further, then compared in blocks of this size.
@@ -62,6 +63,18 @@ def hashes(words: list[bytes], size: int, seed: int = SEED) -> np.ndarray:
     return np.fromiter((h(s, seed) for s in map(b" ".join, rows)), np.uint64, len(words) - size + 1)
 
 
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """64-bit names of the shingles, repeats included: the words' hashes, mixed one after another. For sets only; fingerprints take hashes()."""
+    if not words:
+        return np.empty(0, np.uint64)
+    own, size = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), min(size, len(words))
+    n = len(own) - size + 1
+    out = own[:n]
+    for k in range(1, size):
+        out = mixed(out) + own[k : n + k]
+    return mixed(out)
+
+
 def majority(values: np.ndarray) -> int:
     """The fingerprint: bits that are set in over half the values."""
     n = len(values)
@@ -358,7 +371,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (its smallest reachable node) of the nodes that edges (a, b) name, by large-star and small-star steps."""
     spark = edges.sparkSession
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    sign = None
+    sign, last = None, None
     for _ in range(rounds):
         # Large star: of each node, the larger neighbours are tied to the smallest of its neighbours and itself.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -371,6 +384,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small.write.parquet(path)
         now = spark.read.schema("u long, v long").parquet(path)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if last:
+            discard(spark, last)
+        last = path
         if seen == sign:
             break
         sign = seen
@@ -392,7 +408,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
 
 
 def sketched(docs: DataFrame, shingle: int, anchors: int, seed: int = SEED) -> DataFrame:
-    """node, n (distinct shingles), grade, sketches (the second only where a similar text can have a higher grade), anchors, of the texts (node, text) with words."""
+    """node, digest (of the words), n (distinct shingles), grade, sketches (the second only where a similar text can have a higher grade) and anchors (none without words) of texts (node, text)."""
     salts = np.array([xxhash.xxh64_intdigest(bytes([k]), seed) | 1 for k in range(anchors)], np.uint64)
     places = np.arange(anchors, dtype=np.uint64)
 
@@ -403,35 +419,40 @@ def sketched(docs: DataFrame, shingle: int, anchors: int, seed: int = SEED) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            node, n, grades, sketches, keys = [], [], [], [], []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            digests, n, grades, sketches, keys, counts = [], [], [], [], [], [0]
+            for text in batch.column(1).to_pylist():
                 words = lower_words(text)
+                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                counts.append(counts[-1] + (anchors if words else 0))
                 if not words:
+                    n.append(0)
+                    grades.append(0)
+                    sketches.append(b"")
                     continue
-                values = np.unique(hashes(words, shingle, seed))
+                values = np.unique(shingles(words, shingle))
                 grade = max(0, (len(values) - 1) // SKETCHED).bit_length()
                 both = sketch(values, grade).tobytes()
                 if len(values) >= SKETCHED // 4:
                     both += sketch(values, grade + 1).tobytes()
                 least = np.array([mixed(values * salt).min() for salt in salts], np.uint64)
-                node.append(doc_id)
                 n.append(len(values))
                 grades.append(grade)
                 sketches.append(both)
                 keys.append(mixed(least + places).view(np.int64))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, anchors), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(grades, pa.int64()), pa.array(sketches, pa.binary()), lists], names=["node", *SKETCH_FIELDS, "anchors"])
+            lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(grades, pa.int64()), pa.array(sketches, pa.binary()), lists], names=["node", "digest", *SKETCH_FIELDS, "anchors"])
 
-    return docs.mapInArrow(run, "node long, n long, grade long, sketches binary, anchors array<long>")
+    return docs.mapInArrow(run, "node long, digest binary, n long, grade long, sketches binary, anchors array<long>")
 
 
-def in_blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Rows (key, node, ...); those of a key with more than `most` rows in blocks of about so many, with a key for each two blocks and each block."""
+def in_blocks(rows: DataFrame, most: int, alone: str | None = None) -> DataFrame:
+    """Rows (key, node, ...); those of a key with more than `most` rows in blocks of about so many, with a key for each two blocks and each block. alone: a column that tells keys of one block."""
     out = rows.join(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("blocks")), "key")
     out = out.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     finer = F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))
-    return out.withColumn("key", F.when(F.col("blocks") == 1, F.col("key")).otherwise(finer)).select(*rows.columns)
+    out = out.withColumn("key", F.when(F.col("blocks") == 1, F.col("key")).otherwise(finer))
+    return out.select(*rows.columns, *([(F.col("blocks") == 1).alias(alone)] if alone else []))
 
 
 def exactly_linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -459,17 +480,30 @@ def exactly_linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]
     return edges
 
 
-def verified(classes: DataFrame, rows: DataFrame, shingle: int, least: float, seed: int = SEED) -> DataFrame:
-    """Edges (a, b) by the exact similarity of the texts of classes (node, component)."""
+def verified(classes: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """node, component by the exact similarity of the texts of loose classes (node, component).
 
-    def run(t: pa.Table) -> pa.Table:
-        node = t["node"].to_pylist()
-        found = exactly_linked([np.unique(hashes(lower_words(x.as_py()), shingle, seed)) for x in t["text"]], least)
-        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
+    A class of one block is settled where its texts meet; the links of larger ones, found block by block, are put together.
+    """
 
-    dealt = written(in_blocks(classes.select(F.col("component").alias("key"), "node"), MEMBERS), "members")
-    texts = rows.select(F.col("row").alias("node"), "doc.text").join(dealt, "node").select("key", "node", "text")
-    return texts.groupBy("key").applyInArrow(run, "a long, b long")
+    def run(t: pa.Table) -> pa.Table:
+        node, alone = t["node"].to_pylist(), t["alone"][0].as_py()
+        found = exactly_linked([np.unique(shingles(lower_words(x.as_py()), shingle)) for x in t["text"]], least)
+        if alone:
+            # links come as they are reached: the first of them is known or starts a component
+            root: dict[int, int] = {}
+            for i, j in found:
+                root[j] = root.setdefault(i, i)
+            pairs = [(node[i], node[j]) for j, i in root.items()]
+        else:
+            pairs = [(node[i], node[j]) for i, j in found]
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([x for _, x in pairs], pa.int64()), "alone": pa.array([alone] * len(pairs), pa.bool_())})
+
+    dealt = written(in_blocks(classes.select(F.col("component").alias("key"), "node"), MEMBERS, "alone"), "members")
+    texts = rows.select(F.col("row").alias("node"), "doc.text").join(dealt, "node").select("key", "node", "alone", "text")
+    found = written(texts.groupBy("key").applyInArrow(run, "a long, b long, alone boolean"), "verified")
+    settled, links = found.filter("alone").select(F.col("b").alias("node"), F.col("a").alias("component")), found.filter("not alone")
+    return settled if links.isEmpty() else settled.unionByName(classes_of(links.select("a", "b")))
 
 
 def classes_of(edges: DataFrame) -> DataFrame:
@@ -486,16 +520,17 @@ def one_of_each_group(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: floa
     sketches of their shingles must be roughly similar; then the sets of shingles themselves decide. Texts without words
     are one group. Whether a table of ids is broadcast to the documents or merged with them is left to its written size.
     """
-    spaced = F.translate(ascii_lower(F.coalesce("text", F.lit(""))), "\t\n\x0b\f\r", "     ")
-    digest = F.unhex(F.sha2(F.trim(F.regexp_replace(spaced, " +", " ")), 256))
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), digest.alias("digest"), F.struct("*").alias("doc")), "rows")
-    first = F.min(F.struct(F.col("doc.doc_id").isNull().alias("no_id"), "doc.doc_id", "row")).alias("first")
-    texts = written(rows.groupBy("digest").agg(first).select("digest", "first.*").withColumnRenamed("row", "node"), "texts")
-    features = written(sketched(rows.select(F.col("row").alias("node"), "doc.text"), shingle, anchors), "features").join(texts.select("node"), "node", "left_semi")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
+    # one pass over the texts; all that follows reads ids and hashes, but for the texts that may have near copies
+    every = written(sketched(rows.select(F.col("row").alias("node"), "doc.text"), shingle, anchors), "features")
+    named = every.select(F.col("node").alias("row"), "digest").join(rows.select("row", "doc.doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    texts = written(named.groupBy("digest").agg(first).select("digest", "first.*").withColumnRenamed("row", "node"), "texts")
+    features = every.join(texts.select("node"), "node", "left_semi")
     loose = classes_of(loosely_linked(features, least, min(LOOSE, least - 0.1)))
-    classes = classes_of(verified(loose, rows, shingle, least))
+    classes = verified(loose, rows, shingle, least)
     best = classes.join(texts.select("node", "no_id", "doc_id"), "node").groupBy("component").agg(F.min_by("node", F.struct("no_id", "doc_id", "node")).alias("node"))
     near = classes.select("node").join(best.select("node"), "node", "left_anti").select(F.col("node").alias("row"))
-    copies = rows.select("row", "digest").join(texts.select("digest", "node"), "digest").filter("row <> node").select("row")
+    copies = every.select(F.col("node").alias("row")).join(texts.select(F.col("node").alias("row")), "row", "left_anti")
     dropped = written(near.unionByName(copies), "dropped")
     return rows.join(dropped, "row", "left_anti").select("doc.*")
