@@ -32,13 +32,19 @@ SLOTS_PER_TASK = 200_000
 SEED = 20_240_607
 
 
-def permuted(x: Column, n: Column, *seed: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1: six Feistel rounds on a grid of at least n cells, walked on while outside.
+def permuted(df: DataFrame, name: str, x: str, n: str, *seed: Column) -> DataFrame:
+    """df with a pseudorandom permutation of 0..n-1 at x: six Feistel rounds on a grid of at least n cells, walked on while outside.
 
-    Fewer than sqrt(n) + 1 cells are outside, so a walk of 24 steps ends but for a chance of n ** -12.
+    Fewer than sqrt(n) + 1 cells are outside, so a walk of 24 steps ends but for a chance of n ** -12. Each round is a
+    column of its own: an expression that names the one before twice would make it twice, and six rounds many times over.
     """
-    wide = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    high = F.ceil(n.cast("double") / wide).cast("long")
+    df = df.withColumn("_wide", F.ceil(F.sqrt(F.col(n).cast("double"))).cast("long"))
+    df = df.withColumn("_high", F.ceil(F.col(n).cast("double") / F.col("_wide")).cast("long"))
+    wide, high = F.col("_wide"), F.col("_high")
+    df = df.withColumns({"_l": F.floor(F.col(x) / high).cast("long"), "_r": F.col(x) % high})
+    for k in range(3):
+        df = df.withColumn("_l", (F.col("_l") + F.pmod(F.xxhash64(*seed, F.lit(2 * k), "_r"), wide)) % wide)
+        df = df.withColumn("_r", (F.col("_r") + F.pmod(F.xxhash64(*seed, F.lit(2 * k + 1), "_l"), high)) % high)
 
     def step(value: Column) -> Column:
         left, right = F.floor(value / high).cast("long"), value % high
@@ -47,8 +53,9 @@ def permuted(x: Column, n: Column, *seed: Column) -> Column:
             right = (right + F.pmod(F.xxhash64(*seed, F.lit(2 * k + 1), left), high)) % high
         return left * high + right
 
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(24)), step(x), lambda at, _: F.when(at >= n, step(at)).otherwise(at))
-    return F.when(step(x) < n, step(x)).otherwise(walk)
+    df = df.withColumn("_once", F.col("_l") * high + F.col("_r"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.col("_once"), lambda at, _: F.when(at >= F.col(n), step(at)).otherwise(at))
+    return df.withColumn(name, F.when(F.col("_once") < F.col(n), F.col("_once")).otherwise(walk)).drop("_wide", "_high", "_l", "_r", "_once")
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -132,8 +139,9 @@ def drawn(plan: DataFrame, block: int = BLOCK, seed: int = SEED, per_shard: int
     first = before(counts, "place", "shard", "n", "first").join(plan.select("place", "source_size", "words", "blocks"), "place")
     slots = first.repartition(tasks_of(plan), "place", "shard").withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
     last = F.col("blocks") - 1
-    slots = slots.withColumns({"turn": F.expr("slot div blocks"), "at": F.expr("slot % blocks")})
-    picked = F.when(F.col("at") == last, last).otherwise(permuted(F.col("at"), F.greatest(last, F.lit(1)), F.lit(seed), F.col("place"), F.col("turn")))
+    slots = slots.withColumns({"turn": F.expr("slot div blocks"), "at": F.expr("slot % blocks"), "others": F.greatest(last, F.lit(1))})
+    slots = permuted(slots, "other", "at", "others", F.lit(seed), F.col("place"), F.col("turn"))
+    picked = F.when(F.col("at") == last, last).otherwise(F.col("other"))
     length = F.when(F.col("at") == last, F.col("source_size") - last * block).otherwise(F.lit(block).cast("long"))
     left = F.col("words") - F.col("turn") * F.col("source_size") - F.col("at") * block
     return slots.select("place", "shard", picked.alias("block"), F.least(length, left).alias("take"), (left >= length).alias("whole"))
@@ -173,7 +181,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, b
     """doc_id, size, source_size, target (of its source), taken (words that the mix takes of it, repeats counted), and the first and last output shard that hold some of it."""
     sizes = sized(docs)
     plan = written(targets(sizes, weights, cap, block), "targets")
-    places = placed(sizes, plan)
+    places = written(placed(sizes, plan).select("row", "doc_id", "size", "source_size", "target", "place", "start"), "places")
     each = met(places, drawn(plan, block, seed, per_shard), block)
     words = F.col("full") * (F.col("end") - F.col("begin")) + F.greatest(F.least("end", "part") - F.col("begin"), F.lit(0))
     each = each.withColumn("words", words).filter("words > 0")
@@ -191,7 +199,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), count.alias("size"), F.struct("*").alias("doc")), "mixed")
     sizes = rows.select("row", "size", "doc.doc_id", "doc.source")
     plan = written(targets(sizes, weights, cap, block), "targets")
-    each = met(placed(sizes, plan), drawn(plan, block, seed), block)
+    places = written(placed(sizes, plan).select("row", "size", "place", "start"), "places")
+    each = met(places, drawn(plan, block, seed), block)
     spans = each.groupBy("row").agg(F.collect_list(F.struct("block", "begin", "end", "full", "part")).alias("spans"))
     spans = spans.select("row", F.array_sort("spans").alias("spans"), F.explode(F.sequence(F.lit(1), F.lit(cap))).alias("pass"))
     # words kept of a span in this pass: all, or those before the end of a partial take
@@ -203,7 +212,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
         f"array_join(filter(regexp_extract_all(doc.text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), "
         f"(w, i) -> (lead + i) % {block} < coalesce(try_element_at(until, base + (lead + i) div {block}), 0L)), '')"
     )
-    starts = placed(sizes, plan).select("row", (F.col("start") % block).alias("lead"), F.expr(f"start div {block}").alias("base"))
+    starts = places.select("row", (F.col("start") % block).alias("lead"), F.expr(f"start div {block}").alias("base"))
     joined = rows.join(spans.join(starts.hint("merge"), "row").hint("merge"), "row")
     text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(taken)
     out = joined.select(F.col("doc").withField("text", text).alias("doc"))
