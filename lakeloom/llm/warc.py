@@ -33,10 +33,11 @@ from .files import commit, get, opened, put, temporary
 
 LEAST = 1000
 ROLL_BYTES = 256_000_000
-#: Ranges that an archive falls into at least (of RANGE_LEAST bytes or more), and bytes of payload a range has at most.
-RANGES, RANGE_LEAST, RANGE_BYTES = 64, 1 << 18, 1 << 30
-#: Bytes that a record has besides its payload, and bins into which heavy bins are cut.
+#: Ranges that an archive falls into (fewer, if that made them smaller than RANGE_LEAST bytes; more, beyond RANGE_BYTES each).
+RANGES, RANGE_LEAST, RANGE_BYTES = 512, 4 << 20, 1 << 30
+#: Bytes that a record has besides its payload; bits by which heavy bins are cut finer.
 RECORD_BYTES, FINER = 512, 6
+#: What a null id counts as in the order of ids.
 FIRST = -(1 << 63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WRITTEN = "file string, records long, bytes long, sha256 string"
@@ -118,7 +119,7 @@ class Roller:
 def range_starts(sizes: DataFrame, ranges: int = RANGES, least: int = RANGE_LEAST, most: int = RANGE_BYTES) -> list[tuple[int, int]]:
     """Starts (page_id, first 32 bits of the digest) of the ranges of rows (page_id, bytes), in order; a null id counts as the least one.
 
-    The driver sees a few dozen bins for each range.
+    The driver sees a few bins for each range.
     """
     rows = sizes.select(F.coalesce("page_id", F.lit(FIRST)).alias("k"), (F.col("bytes") + RECORD_BYTES).alias("w"))
     total, low, high = rows.agg(F.sum("w"), F.min("k"), F.max("k")).first()
@@ -126,19 +127,19 @@ def range_starts(sizes: DataFrame, ranges: int = RANGES, least: int = RANGE_LEAS
     if total is None:
         return starts
     goal = min(most, max(least, -(-total // ranges)))
-    shift = max(0, (high - low).bit_length() - (-(-total // goal)).bit_length() - 4)
-    leaves: list[tuple[int, int, int]] = []
+    shift = max(0, (high - low).bit_length() - (-(-total // goal)).bit_length() - 3)
+    leaves: list[tuple[int, int]] = []
     while True:
         bins = [tuple(r) for r in rows.groupBy(F.shiftright("k", shift).alias("bin")).agg(F.sum("w").alias("w")).collect()]
         heavy = [b for b, w in bins if w > goal and shift]
-        leaves += [(b << shift, w, shift) for b, w in bins if w <= goal or not shift]
+        leaves += [(b << shift, w) for b, w in bins if w <= goal or not shift]
         if not heavy:
             break
         inside = rows.sparkSession.createDataFrame([(b,) for b in heavy], "bin long")
         rows = rows.join(inside, F.shiftright("k", shift) == F.col("bin"), "left_semi")
         shift = max(0, shift - FINER)
     held = 0
-    for k, w, _ in sorted(leaves):
+    for k, w in sorted(leaves):
         if held and held + w > goal:
             starts.append((k, 0))
             held = 0
