@@ -9,9 +9,10 @@ alternating large-star and small-star steps.
 A run of equal variants longer than RUN isn't held by a task: its rows are handed on, keyed by the variant and a variant of
 the next segment too, and so on to the last segment; what even then is one run is compared block by block.
 
-Links between documents can ask for more: documents meet only under an equal MinHash of their shingles. Ids alone are dealt
-by it; only those that share one meet the odd sketches of their shingle sets, which, read loosely, leave out what is far
-apart; the components of what is left are settled by the exact Jaccard similarity, each text in one of them.
+Links between documents can ask for a Jaccard similarity of their shingles. Their fingerprints are then of two words: variants
+of either lead documents together, and both words, read loosely, leave out what is far apart. What the variants miss
+meets under an equal MinHash of the shingles, where odd sketches of the sets are read as loosely. The components of all
+that are settled by the exact similarity, each text in one of them.
 
 Defined results: a null text, or one without words, has fingerprint zero, and links like any other; a text of fewer words
 than a shingle is one shingle; equal doc_ids keep a row each and one component; an empty table gives no rows; other
@@ -37,8 +38,13 @@ SHINGLE, BITS, SEED = 3, 3, 42
 RUN = 8_192
 #: How often a run that is too long gets a finer key before it falls into blocks.
 LEVELS = 2
+#: Rows of a run up to which all its pairs are looked at side by side.
+SIDE = 1_024
 #: Near-duplicate stages: words of a shingle, least similarity, MinHash anchors a document.
 STAGE_SHINGLE, SIMILARITY, ANCHORS = 5, 0.8, 8
+#: Near-duplicate stages: differing bits of a word of the fingerprint at which a variant is shared for sure (four segments of 16
+#: bits), and of both at which documents that share one are compared exactly (of 128 bits 19 differ at 0.8 on average, 64 of unrelated ones).
+STAGE_BITS, APART = 7, 26
 SKETCH_BITS = 4_096
 #: Least similarity by sketches at which documents are compared exactly; an estimate for a pair at 0.8 has a deviation of 0.01 at most.
 LOOSE = 0.7
@@ -87,6 +93,12 @@ def majority(values: np.ndarray) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def set_prints(values: np.ndarray) -> tuple[int, int]:
+    """The two words of the fingerprint of a set (sorted, not empty). In sets of an even size the smallest votes twice, so small sets have as many bits set as large ones."""
+    odd = values if len(values) % 2 else np.append(values, values[0])
+    return majority(odd), majority(mixed(odd + np.uint64(SEED)))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 
@@ -130,6 +142,18 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
+def prints_of(t: pa.Table) -> np.ndarray:
+    """Fingerprints: of one word (fp), or of two side by side (fp, fq)."""
+    words = [t[c].to_numpy().view(np.uint64) for c in ("fp", "fq") if c in t.column_names]
+    return words[0] if len(words) == 1 else np.stack(words, axis=1)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints differ."""
+    out = popcount(a ^ b)
+    return out if out.ndim == 1 else out.sum(axis=1)
+
+
 def similarity(a: dict, i: int, js: np.ndarray) -> np.ndarray:
     """Jaccard of row i to rows js from odd sketches: n shingles in all; sketch k takes those of 2 ** -k.
 
@@ -174,7 +198,7 @@ def connected(a: dict, bits: int, least: float | None) -> list[tuple[int, int]]:
         queue, todo = [int(todo[0])], todo[1:]
         while queue and len(todo):
             i = queue.pop()
-            near = popcount(fp[todo] ^ fp[i]) <= bits if least is None else candidates(a, i, todo, least)
+            near = differing(fp[todo], fp[i]) <= bits if least is None else candidates(a, i, todo, least)
             if near.any():
                 found = todo[near]
                 edges.extend((i, int(j)) for j in found)
@@ -184,13 +208,23 @@ def connected(a: dict, bits: int, least: float | None) -> list[tuple[int, int]]:
 
 
 def pairs_in_runs(keys: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Linked neighbours in sorted runs of two (the usual ones), at once; the starts and lengths of the longer runs."""
+    """Linked neighbours in sorted runs of two (the usual ones), at once; the starts and lengths of the longer runs that have links, or more than SIDE rows."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[starts, len(keys)])
     two = starts[lengths == 2]
-    near = two[popcount(fp[two] ^ fp[two + 1]) <= bits]
-    long = lengths > 2
-    return near, starts[long], lengths[long]
+    near = two[differing(fp[two], fp[two + 1]) <= bits]
+    starts, lengths = starts[lengths > 2], lengths[lengths > 2]
+    linked = lengths > SIDE
+    run = np.repeat(np.flatnonzero(~linked), lengths[~linked])
+    row = starts[run] + np.arange(len(run)) - np.repeat(np.cumsum(lengths[~linked]) - lengths[~linked], lengths[~linked])
+    after = starts[run] + lengths[run] - row
+    for step in range(1, SIDE):
+        on = after > step
+        row, run, after = row[on], run[on], after[on]
+        if not len(row):
+            break
+        linked[run[differing(fp[row], fp[row + step]) <= bits]] = True
+    return near, starts[linked], lengths[linked]
 
 
 SKETCH_FIELDS = ["n", "grade", "sketches"]
@@ -223,7 +257,7 @@ def linked(rows: DataFrame, bits: int, least: float | None = None, most: int = 0
                 lengths = np.diff(np.r_[starts, len(keys)])
                 starts, lengths = starts[lengths > 1], lengths[lengths > 1]
             else:
-                fp = t["fp"].to_numpy().view(np.uint64)
+                fp = prints_of(t)
                 two, starts, lengths = pairs_in_runs(keys, fp, bits)
                 out_a.append(node[two])
                 out_b.append(node[two + 1])
@@ -313,7 +347,7 @@ def blockwise(rows: DataFrame, bits: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         node = t["node"].to_numpy()
-        found = connected({"fp": t["fp"].to_numpy().view(np.uint64)}, bits, None)
+        found = connected({"fp": prints_of(t)}, bits, None)
         return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()), "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
 
     return in_blocks(rows, max(1, RUN // 2)).groupBy("key").applyInArrow(run, "a long, b long")
@@ -338,6 +372,15 @@ def edges_of(rows: DataFrame, bits: int) -> DataFrame:
     return edges if rest.isEmpty() else edges.unionByName(blockwise(rest, bits))
 
 
+def closely_printed(features: DataFrame, within: int = APART, bits: int = STAGE_BITS) -> DataFrame:
+    """Edges (a, b) that connect the nodes of features (node, n, fp, fq) that share a variant of fp or of fq and differ in `within` bits of both at most. Runs too long for a task are compared block by block."""
+    word = lambda k, own, other: F.struct(F.lit(k).cast("long").alias("key"), F.col(own).alias("fp"), F.col(other).alias("fq"))
+    words = features.filter("n > 0").select("node", F.explode(F.array(word(0, "fp", "fq"), word(1, "fq", "fp"))).alias("word"))
+    rows = varied(words.select("word.key", "node", "word.fp", F.lit(0).cast("long").alias("used"), "word.fq"), bits)
+    edges, rest = linked(rows.drop("used"), within)
+    return edges if rest.isEmpty() else edges.unionByName(blockwise(rest, within))
+
+
 def loosely_linked(features: DataFrame, similar: float, least: float, most: int = 0) -> DataFrame:
     """Edges (a, b) that connect the nodes of features (node, n, grade, sketches, anchors) that share an anchor and that sketches put at `least` or more.
 
@@ -408,7 +451,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
 
 
 def sketched(docs: DataFrame, shingle: int, anchors: int, seed: int = SEED) -> DataFrame:
-    """node, digest (of the words), n (distinct shingles), grade, sketches (the second only where a similar text can have a higher grade) and anchors (none without words) of texts (node, text)."""
+    """node, digest (of the words), n (distinct shingles), grade, sketches (the second only where a similar text can have a higher grade), anchors (none without words), and the fingerprint's words fp and fq of texts (node, text)."""
     salts = np.array([xxhash.xxh64_intdigest(bytes([k]), seed) | 1 for k in range(anchors)], np.uint64)
     places = np.arange(anchors, dtype=np.uint64)
 
@@ -419,7 +462,7 @@ def sketched(docs: DataFrame, shingle: int, anchors: int, seed: int = SEED) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            digests, n, grades, sketches, keys, counts = [], [], [], [], [], [0]
+            digests, n, grades, sketches, keys, counts, prints = [], [], [], [], [], [0], []
             for text in batch.column(1).to_pylist():
                 words = lower_words(text)
                 digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
@@ -428,6 +471,7 @@ def sketched(docs: DataFrame, shingle: int, anchors: int, seed: int = SEED) -> D
                     n.append(0)
                     grades.append(0)
                     sketches.append(b"")
+                    prints.append((0, 0))
                     continue
                 values = np.unique(shingles(words, shingle))
                 grade = max(0, (len(values) - 1) // SKETCHED).bit_length()
@@ -439,11 +483,13 @@ def sketched(docs: DataFrame, shingle: int, anchors: int, seed: int = SEED) -> D
                 grades.append(grade)
                 sketches.append(both)
                 keys.append(mixed(least + places).view(np.int64))
+                prints.append(set_prints(values))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(grades, pa.int64()), pa.array(sketches, pa.binary()), lists], names=["node", "digest", *SKETCH_FIELDS, "anchors"])
+            fps = [pa.array(x) for x in np.array(prints, np.uint64).view(np.int64).T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(grades, pa.int64()), pa.array(sketches, pa.binary()), lists, *fps], names=["node", "digest", *SKETCH_FIELDS, "anchors", "fp", "fq"])
 
-    return docs.mapInArrow(run, "node long, digest binary, n long, grade long, sketches binary, anchors array<long>")
+    return docs.mapInArrow(run, "node long, digest binary, n long, grade long, sketches binary, anchors array<long>, fp long, fq long")
 
 
 def in_blocks(rows: DataFrame, most: int, alone: str | None = None) -> DataFrame:
@@ -512,13 +558,14 @@ def classes_of(edges: DataFrame) -> DataFrame:
     return written(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "classes")
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = SIMILARITY, anchors: int = ANCHORS) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = SIMILARITY, anchors: int = ANCHORS, within: int = APART) -> DataFrame:
     """docs with one document (the smallest doc_id) of each group of near copies.
 
     Texts link when their sets of shingles have a Jaccard similarity of `least` or more. Texts of equal words are one node;
-    others meet under a shared MinHash anchor (at a similarity of 0.8 all eight miss once in 390,000 pairs), where the
-    sketches of their shingles must be roughly similar; then the sets of shingles themselves decide. Texts without words
-    are one group. Whether a table of ids is broadcast to the documents or merged with them is left to its written size.
+    others meet under a shared deletion variant of their SimHash fingerprints, which must differ in `within` bits at most.
+    Pairs whose fingerprints are too far apart for that meet under a shared MinHash anchor (at a similarity of 0.8 all eight
+    miss once in 390,000 pairs), where the sketches of their shingles must be roughly similar. Then the sets of shingles
+    themselves decide. Texts without words are one group. Whether a table of ids is broadcast to the documents or merged with them is left to its written size.
     """
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
     # one pass over the texts; all that follows reads ids and hashes, but for the texts that may have near copies
@@ -527,7 +574,7 @@ def one_of_each_group(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: floa
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
     texts = written(named.groupBy("digest").agg(first).select("digest", "first.*").withColumnRenamed("row", "node"), "texts")
     features = every.join(texts.select("node"), "node", "left_semi")
-    loose = classes_of(loosely_linked(features, least, min(LOOSE, least - 0.1)))
+    loose = classes_of(closely_printed(features, within).unionByName(loosely_linked(features, least, min(LOOSE, least - 0.1))))
     classes = verified(loose, rows, shingle, least)
     best = classes.join(texts.select("node", "no_id", "doc_id"), "node").groupBy("component").agg(F.min_by("node", F.struct("no_id", "doc_id", "node")).alias("node"))
     near = classes.select("node").join(best.select("node"), "node", "left_anti").select(F.col("node").alias("row"))

@@ -190,6 +190,64 @@ def test_near_copies_whose_words_differ_much_are_found(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.one_of_each_group(df).collect()) == [3 * i for i in range(25)]
 
 
+def plain_set_prints(text):
+    """128 bits, each the vote of the distinct five-word shingles; the smallest shingle breaks ties."""
+    v = np.unique(simhash.shingles(words(text), 5)).tolist()
+    v = v if len(v) % 2 else [*v, v[0]]
+    other = [int(simhash.mixed(np.array([x], np.uint64) + np.uint64(simhash.SEED))[0]) for x in v]
+    return [sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h)) for h in (v, other)]
+
+
+def near_copies(n):
+    """(doc_id, text): texts 3k, a near copy 3k + 1 with some words changed, and 3k + 2, a copy too far off."""
+    rows = []
+    for k in range(n):
+        w = [f"c{k}d{i}" for i in range(100 + k)]
+        near, far = list(w), list(w)
+        for j in range(1 + k % 2):
+            near[20 + 30 * j] = "near"
+        for j in range(5):
+            far[10 + 14 * j] = "far"
+        rows += [(3 * k + j, " ".join(x)) for j, x in enumerate((w, near, far))]
+    return rows
+
+
+@pytest.mark.parametrize("most", [simhash.RUN, 2])
+def test_near_copies_come_by_their_fingerprints(spark, monkeypatch, most):
+    """Without an anchor: what shares a deletion variant and is near enough by all bits links if it is similar, and only then."""
+    ship(spark)
+    monkeypatch.setattr(simhash, "RUN", most)
+    rows = near_copies(30)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    prints = {i: plain_set_prints(t) for i, t in rows}
+    sets = {i: set(simhash.shingles(words(t), 5).tolist()) for i, t in rows}
+    segments = [sum(1 << b for b in range(16 * s, 16 * s + 16)) for s in range(4)]
+    want = set()
+    for i in prints:
+        for j in prints:
+            apart = [a ^ b for a, b in zip(prints[i], prints[j], strict=True)]
+            meet = any((x & s).bit_count() <= 1 for x in apart for s in segments) and sum(x.bit_count() for x in apart) <= simhash.APART
+            if i < j and meet and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want.add(j)
+    got = {r.doc_id for r in simhash.one_of_each_group(df, anchors=0).collect()}
+    assert got == {i for i, _ in rows} - want and len(want) >= 27
+    assert {r.doc_id for r in simhash.one_of_each_group(df, anchors=0, within=-1).collect()} == {i for i, _ in rows}
+
+
+def test_fingerprints_of_many_rows_with_one_variant(spark):
+    """Runs with and without links, of two rows, of some, and of more than are looked at side by side."""
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 40, simhash.SIDE + 5):
+        fp = rng.integers(1 << 63, size=(3 * n, 2), dtype=np.uint64)
+        keys = np.repeat(np.arange(3), n)
+        fp[n] = fp[2 * n - 1] ^ np.uint64(5)  # the second run holds a link
+        two, starts, lengths = simhash.pairs_in_runs(keys, fp, 26)
+        long = [0, n, 2 * n] if n > simhash.SIDE else [n] if n > 2 else []
+        assert starts.tolist() == long and lengths.tolist() == [n] * len(long)
+        assert two.tolist() == ([n] if n == 2 else [])
+        assert all(simhash.connected({"fp": fp[s : s + n]}, 26, None) == ([(0, n - 1)] if s == n else []) for s in long)
+
+
 def test_long_runs_of_sketches_keep_their_groups(spark):
     from pyspark.sql import functions as F
 
