@@ -263,8 +263,12 @@ def linked(rows: DataFrame, bits: int, least: float | None = None, most: int = 0
                 out_b.append(node[two + 1])
             for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
                 found = connected(columns_of(t.slice(s, n)) if sketched else {"fp": fp[s : s + n]}, bits, least)
-                out_a.append(np.array([node[s + i] for i, _ in found], np.int64))
-                out_b.append(np.array([node[s + j] for _, j in found], np.int64))
+                # all to the smallest node, which runs of one group have in common: their edges are mostly the same
+                root: dict[int, int] = {}
+                for i, j in found:
+                    root[j] = root.setdefault(i, i)
+                out_a.append(node[s + np.array(list(root.values()), np.int64)])
+                out_b.append(node[s + np.array(list(root), np.int64)])
             if sum(map(len, out_a)):
                 yield edges(np.concatenate(out_a), np.concatenate(out_b))
 
@@ -302,7 +306,7 @@ def linked(rows: DataFrame, bits: int, least: float | None = None, most: int = 0
         if count:
             yield from settle(pa.concat_tables(held).combine_chunks(), work, handed_on, most)
 
-    done = rows.repartition("key").sortWithinPartitions("key").select(*full).mapInArrow(run, f"a long, b long, {kind.replace(':', ' ')}")
+    done = rows.repartition("key").sortWithinPartitions("key", "node").select(*full).mapInArrow(run, f"a long, b long, {kind.replace(':', ' ')}")
     done = written(done, "linked")
     return done.filter("a is not null").select("a", "b"), done.filter("a is null").select(*full)
 
